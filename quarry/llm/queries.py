@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, gif, mixing, quality, sharding, toxicity
+from quarry.llm import bpe, gif, mixing, ngram_join, quality, sharding, toxicity
 from quarry.llm.common import table, tune
 
 
@@ -35,6 +35,11 @@ def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100).drop("th")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op5_bpe": op5_bpe,
     "op6_gif": op6_gif,
+    "op7_jaccard": op7_jaccard,
     "op8_mixing": op8_mixing,
 }
 
