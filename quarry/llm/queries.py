@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bpe, gif, mixing, ngram_join, quality, sharding, toxicity
+from quarry.llm import ann, bpe, gif, html_text, mixing, ngram_join, quality, sharding, toxicity
 from quarry.llm.common import table, tune
 
 
@@ -44,6 +45,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
@@ -52,6 +63,8 @@ QUERIES = {
     "op6_gif": op6_gif,
     "op7_jaccard": op7_jaccard,
     "op8_mixing": op8_mixing,
+    "op9_html": op9_html,
+    "op10_ann": op10_ann,
 }
 
 ORACLE: dict[str, str] = {}
