@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +48,6 @@ def score_rows(docs: DataFrame, scorer, threshold: float, id_col: str = "doc_id"
 
 def score_column(scorer, text: Column) -> Column:
     """The score as a column expression, for filters that keep every column of a table."""
-    import pandas as pd
-
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(scorer([t if isinstance(t, str) else None for t in texts]))
 

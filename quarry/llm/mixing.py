@@ -17,6 +17,8 @@ from quarry.llm.common import materialize
 
 #: Hash ranges in which the partial pass of a source is ordered; a hot source is spread over all of them.
 RANGES = 4096
+#: Tables with a row for each source are broadcast up to this many rows.
+PLAN_ROWS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,6 +45,58 @@ def water_fill(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epo
     )
 
 
+def _key(source: Column) -> Column:
+    """The source as text that is never null, so that joins and windows share one exchange."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def _row(seed: int, id_col: Column, text_col: Column) -> Column:
+    return F.xxhash64(F.lit(seed), id_col, text_col)
+
+
+def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3.0) -> DataFrame:
+    """What each source gives: (key, source_size, target, whole, edge, cut), from rows (source, size, row).
+
+    Every document is taken ``whole`` times, and once more if its range of the hash lies below ``edge``, or is ``edge`` and its
+    hash is at most ``cut``.
+    """
+    rows = rows.select("source", "size", "row", F.pmod("row", F.lit(RANGES)).cast("int").alias("range"))
+    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    targets = water_fill(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
+    reps = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(reps).cast("long")
+    targets = targets.select(_key(F.col("source")).alias("key"), "source_size", "target", whole.alias("whole"), ((reps - whole) * F.col("source_size")).alias("need"))
+    before = W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    placed = ranges.select(_key(F.col("source")).alias("key"), "range", "words")
+    placed = placed.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).join(targets.select("key", "need"), "key")
+    edges = placed.filter("start < need and need <= start + words").groupBy("key").agg(F.min_by(F.struct("range", "start", "need"), "range").alias("e"))
+    edges = edges.select("key", F.col("e.range").alias("range"), "e.start", "e.need")
+    upto = W.partitionBy("key", "range").orderBy("row", "size").rowsBetween(W.unboundedPreceding, 0)
+    at_edge = rows.select(_key(F.col("source")).alias("key"), "range", "row", "size").join(edges, ["key", "range"])
+    middle = F.col("start") + F.sum("size").over(upto) - F.col("size") / 2
+    cuts = at_edge.select("key", "row", (middle <= F.col("need")).alias("in")).filter("in").groupBy("key").agg(F.max("row").alias("cut"))
+    return (
+        targets.join(edges.select("key", F.col("range").alias("edge")), "key", "left").join(cuts, "key", "left")
+        .select("key", "source_size", "target", "whole", F.coalesce("edge", F.lit(-1)).alias("edge"), "cut")
+    )
+
+
+def _copies(size: Column, row: Column) -> Column:
+    place = F.pmod(row, F.lit(RANGES)).cast("int")
+    more = (place < F.col("edge")) | ((place == F.col("edge")) & F.coalesce(row <= F.col("cut"), F.lit(False)))
+    return F.when(size > 0, F.col("whole") + more.cast("long")).otherwise(0).cast("long")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """Broadcast if it has few rows (one a source); else Spark joins it by a shuffle."""
+    return F.broadcast(table) if table.count() <= PLAN_ROWS else table
+
+
+def _narrow(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text).alias("size"), _row(seed, F.col(id_col), text).alias("row")), "mix")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
@@ -52,32 +106,28 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, copies, and the key ``_row``.
+    """One row for each row of ``docs``: doc_id, size, source_size, target, taken and copies.
 
     ``copies`` is how often the mix takes the document, ``taken`` its words times that. A null text has no words; a null
-    source is a source of its own, last in order. Rows without words take no part (0 copies). Repeated rows
-    are taken as equal rows of the same source; an empty table gives an empty result. The same rows and seed give the
-    same mix at any partitioning. Only the named columns are read, so other columns can have any names.
+    source is a source of its own, last in order. Rows without words take no part (0 copies). Repeated rows are
+    taken equally often; an empty table gives an empty result. The same rows and seed give the same mix at any
+    partitioning. Only the named columns are read, so other columns can have any names.
     """
-    h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    rows = materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"),
-            h.alias("_row"), F.pmod(h, F.lit(RANGES)).cast("int").alias("_range"),
-        ),
-        "mix",
-    )
-    ranges = rows.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
-    targets = water_fill(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, max_epochs)
-    before = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranges.select("source", "_range", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
-    starts = starts.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_key")  # not null, for one exchange below
-    joined = rows.select("*", key).drop("source").join(starts.select(key, "_range", "_start", "source_size", "target"), ["_key", "_range"])
-    reps = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(reps)
-    within = W.partitionBy("_key", "_range").orderBy("_row", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    middle = F.col("_start") + F.sum("size").over(within) - F.col("size") / 2
-    more = (middle <= (reps - whole) * F.col("source_size")).cast("int")
-    copies = F.when(F.col("size") > 0, whole + more).otherwise(0).cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "_row")
+    rows = _narrow(docs, seed, id_col, text_col, source_col)
+    shares = _small(materialize(plan(rows, weights, max_epochs), "plan"))
+    copies = _copies(F.col("size"), F.col("row"))
+    joined = rows.withColumn("key", _key(F.col("source"))).join(shares, "key")
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def mixed(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """The mix itself: the columns of ``docs``, each row as often as ``mix`` takes it. Texts are not shuffled."""
+    shares = materialize(plan(_narrow(docs, seed, id_col, text_col, source_col), weights, max_epochs), "plan")
+    shares = _small(shares.select(F.struct("*").alias("_share")))
+    joined = docs.select(F.struct("*").alias("_doc")).join(shares, _key(F.col(f"_doc.{source_col}").cast("string")) == F.col("_share.key"))
+    fields = joined.select("_doc", "_share.*")
+    doc = F.col("_doc")
+    copies = _copies(words(doc[text_col]), _row(seed, doc[id_col], doc[text_col]))
+    return fields.select("_doc", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy")).select("_doc.*")

@@ -243,7 +243,10 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, and ``th``, a hash of the text.
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, th and keep.
+
+    ``th`` is a hash of the text; ``keep`` is true for the first row of each component, by doc_id and th, and for every row that
+    links with nothing.
 
     Two rows link when den * (common n-grams) >= num * (n-grams of either). component_id is the smallest doc_id that
     links lead to, itself included. A row with fewer than n words has one n-gram, the whole sequence; a null or
@@ -255,7 +258,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rows = materialize(_classes(docs, n), "classes")
     cells = [f"s{k}" for k in range(SKETCH)]
     info = materialize(
-        rows.filter("size > 0").groupBy("key", "node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in cells]),
+        rows.filter("size > 0").groupBy("key", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("rep"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in cells]),
         "info",
     )
     reps, known = info.select("node", "rep.doc_id", "rep.th"), info.select("node", "size", *cells)
@@ -300,7 +303,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         labels = components(links.unionAll(more))
 
     # back to the rows
-    classes = info.select("key", "node", "least").join(labels, "node", "left").select("key", "least", F.coalesce("label", "node").alias("label"))
-    smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = classes.join(smallest, "label").select("key", "component_id")
-    return rows.select("doc_id", "th", "key", "size").join(of, "key", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "th")
+    classes = info.select("key", "node", "rep").join(labels, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
+    of = classes.join(classes.groupBy("label").agg(F.min("rep").alias("first")), "label").select("key", "first")
+    found = rows.select("doc_id", "th", "key", "size").join(of, "key", "left")
+    keep = F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")))
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "th", keep.alias("keep"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row left of each component; all columns stay. Of rows with equal id and text one is left."""
+    found = materialize(jaccard_components(docs, n, num, den, id_col, text_col).select("doc_id", "th", "keep", "n_shingles"), "found")
+    gone = found.filter("not keep").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_th")), "left_anti")
+    again = found.filter("keep and n_shingles > 0").groupBy("doc_id", "th").count().filter("count > 1")
+    return left if again.isEmpty() else left.dropDuplicates([id_col, text_col])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, gif, html_text, mixing, ngram_join, quality, sharding, toxicity
+from quarry.llm import ann, bpe, gif, html_text, licences, mixing, ngram_join, quality, sharding, toxicity
 from quarry.llm.common import table, tune
 
 
@@ -26,6 +26,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -38,7 +43,7 @@ def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100).drop("th")
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100).drop("th", "keep")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
+    "op4_licences": op4_licences,
     "op5_bpe": op5_bpe,
     "op6_gif": op6_gif,
     "op7_jaccard": op7_jaccard,
