@@ -161,6 +161,78 @@ def lzw_decode(data: bytes, bits: int, wanted: int) -> bytes:
     return b"".join(out)[:wanted]
 
 
+def lzw_decode_all(streams: list[bytes], bits: list[int], wanted: list[int]) -> list[bytes]:
+    """Decode several code streams at once where they allow it, one by one where not.
+
+    In a stream with no clear code but the first, entry e of the table repeats what code e gave and one more sample, and
+    both lie in the output. So each code is a sample or a copy of earlier output, lengths follow from chains of entries,
+    and samples from chains of copies; doubling resolves either kind of chain for all streams together.
+    """
+    out: list[bytes | None] = [None] * len(streams)
+    groups: dict[int, list[int]] = {}
+    for i, (b, n) in enumerate(zip(bits, wanted, strict=True)):
+        if 0 < n <= LIMIT - (1 << b) - 2 and len(streams[i]) <= 2 * n + 8:
+            groups.setdefault(b, []).append(i)
+    for b, members in groups.items():
+        for k in range(0, len(members), 256):
+            for i, data in zip(part := members[k : k + 256], _decode_simple([streams[i] for i in part], b, [wanted[i] for i in part]), strict=True):
+                out[i] = data
+    return [lzw_decode(streams[i], bits[i], wanted[i]) if x is None else x for i, x in enumerate(out)]
+
+
+def _decode_simple(streams: list[bytes], bits: int, wanted: list[int]) -> list[bytes | None]:
+    """None for each stream with a second clear code, without an end code, of another length than wanted, or damaged."""
+    clear, (width, begin, end, _) = 1 << bits, _layout(bits)
+    count, sizes = len(streams), np.array([len(s) for s in streams])
+    longest = int(sizes.max())
+    raw = np.frombuffer(b"".join(s.ljust(longest + 3, b"\0") for s in streams), np.uint8).reshape(count, -1).astype(np.int32)
+    n = int(np.searchsorted(end, longest * 8 - bits - 1, side="right"))
+    if n < 1:
+        return [None] * count
+    place = begin[:n] + bits + 1
+    byte, shift = place >> 3, (place & 7).astype(np.int32)
+    codes = (raw[:, byte] | raw[:, byte + 1] << 8 | raw[:, byte + 2] << 16) >> shift & ((1 << width[:n]) - 1).astype(np.int32)
+    special = (codes == clear) | (codes == clear + 1)
+    stop = special.argmax(1)
+    rows = np.arange(count)
+    good = special[rows, stop] & (codes[rows, stop] == clear + 1) & ((raw[:, 0] | raw[:, 1] << 8) & (2 << bits) - 1 == clear)
+    good &= (end[stop] + bits + 1 <= sizes * 8) & (stop > 0)
+    at = np.arange(n)
+    known = (at < stop[:, None]) & good[:, None]
+    entry = codes - (clear + 2)
+    good &= ~((entry >= np.maximum(at, 0)) & known).any(1)
+    known &= good[:, None]
+    row, col = np.nonzero(known)
+    if not len(row):
+        return [None] * count
+    code = codes[row, col]
+    number = np.arange(len(code))
+    parent = np.where(code < clear, number, number - col + entry[row, col])  # the code whose output an entry extends
+    length = np.where(code < clear, 1, 2)
+    hop, add = parent, length - 1
+    while True:  # length of a code: one more than that of its parent
+        nxt = hop[hop]
+        more = add[hop]
+        if not more.any():
+            break
+        add, hop = add + more, nxt
+    length = add + 1
+    start = np.cumsum(length) - length
+    total = int(start[-1] + length[-1])
+    of = np.repeat(number, length)
+    source = np.where((code < clear)[of], np.arange(total), start[parent][of] + np.arange(total) - start[of])
+    while True:
+        nxt = source[source]
+        if np.array_equal(nxt, source):
+            break
+        source = nxt
+    samples = code.astype(np.uint8)[of[source]].tobytes()
+    made = np.zeros(count, np.int64)
+    np.add.at(made, row, length)
+    last = np.cumsum(made)
+    return [samples[e - m : e] if g and m == w else None for g, m, e, w in zip(good.tolist(), made.tolist(), last.tolist(), wanted, strict=True)]
+
+
 def _blocks(data: bytes) -> bytes:
     return b"".join(bytes((len(part),)) + part for part in (data[k : k + 255] for k in range(0, len(data), 255))) + b"\0"
 
@@ -205,6 +277,7 @@ def read(data: bytes) -> Gif:
         at += len(palette)
     gif = Gif(width, height, tuple(palette[3 * back : 3 * back + 3].ljust(3, b"\0")) if flags & 0x80 else (0, 0, 0))
     delay, disposal, transparent = 0, 0, None
+    found: list[tuple[bytes, int, bool]] = []
     while at < len(data):
         kind = data[at]
         if kind == 0x21 and at + 2 < len(data):
@@ -223,16 +296,19 @@ def read(data: bytes) -> Gif:
                 break
             bits = data[at]
             stream, at = _sub_blocks(data, at + 1)
-            indices = lzw_decode(stream, bits, w * h).ljust(w * h, b"\0") if 1 <= bits <= 11 else b"\0" * (w * h)
-            if flags & 0x40:
-                grid = np.frombuffer(indices, np.uint8).reshape(h, w)
-                straight = np.empty_like(grid)
-                straight[_rows(h)] = grid
-                indices = straight.tobytes()
-            gif.frames.append(Frame(left, top, w, h, indices, own, delay, disposal, transparent))
+            found.append((stream if 1 <= bits <= 8 else b"", min(max(bits, 1), 8), bool(flags & 0x40)))
+            gif.frames.append(Frame(left, top, w, h, b"", own, delay, disposal, transparent))
             delay, disposal, transparent = 0, 0, None
         else:
             break
+    decoded = lzw_decode_all([x[0] for x in found], [x[1] for x in found], [f.width * f.height for f in gif.frames])
+    for f, indices, (_, _, interlaced) in zip(gif.frames, decoded, found, strict=True):
+        f.indices = indices.ljust(f.width * f.height, b"\0")
+        if interlaced:
+            grid = np.frombuffer(f.indices, np.uint8).reshape(f.height, f.width)
+            straight = np.empty_like(grid)
+            straight[_rows(f.height)] = grid
+            f.indices = straight.tobytes()
     return gif
 
 
