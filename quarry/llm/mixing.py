@@ -51,7 +51,9 @@ def _key(source: Column) -> Column:
 
 
 def _row(seed: int, id_col: Column, text_col: Column) -> Column:
-    return F.xxhash64(F.lit(seed), id_col, text_col)
+    """A number from 0 to 2^60 - 1 that depends on seed, id and text only; an md5, so that other engines can compute it."""
+    whole = F.concat_ws("|", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("")), F.coalesce(text_col.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3.0) -> DataFrame:

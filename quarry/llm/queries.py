@@ -73,4 +73,25 @@ QUERIES = {
     "op10_ann": op10_ann,
 }
 
-ORACLE: dict[str, str] = {}
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op7_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+        s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1) c USING (doc_id)""",
+    "op8_mixing": f"""
+        WITH d AS (SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+        w AS (SELECT *, 3.0::DOUBLE * source_size AS cap, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS wt FROM s),
+        v AS (SELECT *, ((SELECT sum(source_size) FROM w) - coalesce(sum(cap) OVER b, 0)) / ((SELECT sum(wt) FROM w) - coalesce(sum(wt) OVER b, 0)) AS lvl FROM w WINDOW b AS (ORDER BY cap / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT source, source_size, least(cap, (SELECT max(lvl) FROM v) * wt) AS target FROM v),
+        r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS reps FROM t),
+        q AS (SELECT d.*, source_size, target, floor(reps) AS whole, (reps - floor(reps)) * source_size AS need, sum(size) OVER (PARTITION BY d.source ORDER BY h % 4096, h, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+        SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN middle <= need AND need > 0 THEN 1 ELSE 0 END) END AS BIGINT) AS taken FROM q""",
+}
