@@ -49,7 +49,7 @@ def missing_batches(batches: DataFrame, results: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """The committer makes the output appear at once or not at all."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def conform(sample: DataFrame, predictions: DataFrame, key: str = "id", default: int = 0) -> DataFrame:
