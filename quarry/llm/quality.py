@@ -28,6 +28,7 @@ RANK = 48
 NEIGHBOURS = 25
 SHARPNESS = 6.0
 BLOCK = 256
+PIECE = 20_000
 THRESHOLD = 0.7
 CACHE = 200_000
 
@@ -131,16 +132,16 @@ def fit_voters(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rank: i
     if not m:
         return Voters(np.zeros((SPACE, 1), np.float32), np.zeros((0, 1), np.float32), y, prior)
     size = np.array([len(r[0]) for r in rows])
-    ids, seg = np.concatenate([r[0] for r in rows]), np.repeat(np.arange(m), size)
+    ids, seg = np.concatenate([r[0] for r in rows]).astype(np.int32), np.repeat(np.arange(m, dtype=np.int32), size)
     rarity = np.log((1 + m) / (1 + np.bincount(ids, minlength=SPACE))) + 1
-    value = np.concatenate([r[1] for r in rows]) * rarity[ids]
+    value = (np.concatenate([r[1] for r in rows]) * rarity[ids]).astype(np.float32)
     by = np.argsort(ids, kind="stable")
 
     def spread(index: np.ndarray, other: np.ndarray, val: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
         """Sums of val x dense[other] by index, which is sorted; in pieces of bounded size."""
         out = np.zeros((n, dense.shape[1]))
-        for k in range(0, len(index), 200_000):
-            i, part = index[k : k + 200_000], val[k : k + 200_000, None] * dense[other[k : k + 200_000]]
+        for k in range(0, len(index), PIECE):
+            i, part = index[k : k + PIECE], val[k : k + PIECE, None] * dense[other[k : k + PIECE]]
             first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
             np.add.at(out, i[first], np.add.reduceat(part, first))
         return out
@@ -173,9 +174,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
             )
 
     got = labelled_sample(docs, labels, label_col, sample, 5, id_col, text_col).mapInArrow(run, "ids array<int>, weights array<float>, y int").toArrow()
-    numbers = lambda c, kind: [np.asarray(x.values.to_numpy(zero_copy_only=False), kind) for x in got.column(c).combine_chunks()] if len(got) else []
-    rows, y = list(zip(numbers("ids", np.int64), numbers("weights", np.float64), strict=True)), got.column("y").to_numpy()
-    order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i][0]), rows[i][0].sum(), rows[i][1].sum()))  # the same space at any partitioning
+    numbers = lambda c, kind: [x.values.to_numpy(zero_copy_only=False).astype(kind) for x in got.column(c).combine_chunks()] if len(got) else []
+    rows, y = list(zip(numbers("ids", np.int32), numbers("weights", np.float32), strict=True)), got.column("y").to_numpy().copy()
+    del got
+    order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i][0]), rows[i][0].sum(dtype=np.int64), rows[i][1].sum(dtype=np.float64)))  # the same space at any partitioning
     return fit_voters([rows[i] for i in order], y[order] if len(y) else y)
 
 
