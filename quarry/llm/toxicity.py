@@ -18,7 +18,7 @@ from quarry.llm.common import held_out
 from quarry.llm.labelled import labelled_sample, score_rows
 
 #: At most so many labelled rows are learned from, by label.
-SAMPLE = {0: 6000, 1: 3000}
+SAMPLE = {0: 5000, 1: 2500}
 SPACE = 1 << 20
 TERMS = 1 << 16
 FACTORS = 8
@@ -58,6 +58,8 @@ class Machine:
     weight: np.ndarray
     factor: np.ndarray
     bias: float
+    scale: float = 1.0
+    shift: float = 0.0
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         if "terms" not in self.__dict__:
@@ -68,20 +70,25 @@ class Machine:
         return {k: v for k, v in self.__dict__.items() if k != "terms"}
 
     def score(self, ids: np.ndarray) -> float:
+        z = self.scale * self.sum(ids) + self.shift
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    def sum(self, ids: np.ndarray) -> float:
         at = self.place[ids]
         at = at[at > 0]
         v = self.factor[at]
         total = v.sum(0)
-        z = self.bias + float(self.weight[at].sum()) + 0.5 * float((total * total).sum() - (v * v).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return self.bias + float(self.weight[at].sum()) + 0.5 * float((total * total).sum() - (v * v).sum())
 
 
-def fit_machine(terms: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.15, sparse: float = 0.1, seed: int = 11, base: float | None = None) -> Machine:
+def fit_machine(terms: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.15, sparse: float = 0.15, factor_rate: float = 0.01, seed: int = 11, base: float | None = None) -> Machine:
     """Adagrad on the logistic loss, with soft thresholding (``sparse``) that leaves harmless terms at exactly nothing,
-    so that the many terms of a long text don't drown a toxic one. ``base``: share of ones among all labels, where the
-    sample has another. Terms in fewer than 3 rows are not learned; the TERMS most frequent ones are kept."""
+    so that the many terms of a long text don't drown a toxic one. One row in five is held back to calibrate the
+    scores, to ``base``, the share of ones among all labels. Terms in fewer than 3 rows are not learned; the TERMS most frequent ones are kept."""
     y = np.asarray(y, np.float64)
-    count = np.bincount(np.concatenate([*terms, np.zeros(0, np.int64)]), minlength=SPACE) if terms else np.zeros(SPACE, np.int64)
+    count = np.zeros(SPACE, np.int32)
+    for t in terms:
+        count[t] += 1  # a row's terms are distinct
     kept = np.flatnonzero(count >= 3)
     kept = kept[np.lexsort((kept, -count[kept]))][:TERMS]
     place = np.zeros(SPACE, np.int32)
@@ -91,11 +98,13 @@ def fit_machine(terms: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch:
     w, v = np.zeros(n), rng.normal(0, 0.003, (n, FACTORS))
     v[0] = 0
     gw, gv = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2)
-    rate_of_ones = y.mean() if len(y) else 0.0
+    rate_of_ones = y.mean() if len(y) else 0.5
     bias = float(np.log((rate_of_ones + 1e-3) / (1 - rate_of_ones + 1e-3)))
     rows = [(lambda a: a[a > 0])(place[t]) for t in terms]
-    for _ in range(epochs if 0 < rate_of_ones < 1 else 0):
-        order = rng.permutation(len(rows))
+    held = [i for i in range(len(rows)) if i % 5 == 4] if len(rows) >= 50 else []
+    fit = np.array([i for i in range(len(rows)) if not held or i % 5 != 4], int)
+    for _ in range(epochs if len(y) and 0 < rate_of_ones < 1 else 0):
+        order = rng.permutation(fit)
         for k in range(0, len(order), batch):
             pick = [i for i in order[k : k + batch] if len(rows[i])]
             if not pick:
@@ -121,12 +130,27 @@ def fit_machine(terms: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch:
             step = rate / np.sqrt(gw[term])
             moved = w[term] - step * dw
             w[term] = np.sign(moved) * np.maximum(np.abs(moved) - sparse * step, 0)
-            step = 0.1 * rate / np.sqrt(gv[term])
+            step = factor_rate * rate / np.sqrt(gv[term])
             moved = v[term] - step * dv
             v[term] = np.sign(moved) * np.maximum(np.abs(moved) - 0.1 * sparse * step, 0)
-    if base and 0 < base < 1 and 0 < rate_of_ones < 1:
-        bias += float(np.log(base / (1 - base)) - np.log(rate_of_ones / (1 - rate_of_ones)))
-    return Machine(place, w.astype(np.float32), v.astype(np.float32), bias)
+    machine = Machine(place, w.astype(np.float32), v.astype(np.float32), bias)
+    if held and 0 < y[held].mean() < 1:
+        share = base if base and 0 < base < 1 else float(y[held].mean())
+        machine.scale, machine.shift = calibrated(np.array([machine.sum(terms[i]) for i in held]), y[held], share)
+    return machine
+
+
+def calibrated(z: np.ndarray, y: np.ndarray, base: float, ridge: float = 0.02) -> tuple[float, float]:
+    """Scale and shift of a logistic fit to sums of rows that took no part in training, weighted to the share of ones among all labels."""
+    x = np.stack([z, np.ones(len(z))], 1)
+    weight = np.where(y == 1, base / y.mean(), (1 - base) / (1 - y.mean()))
+    w = np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (weight * (p - y)) + ridge * len(z) * 0.01 * (w - [1.0, 0.0])
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * len(z) * 0.01 * np.eye(2)
+        w -= np.linalg.solve(h, g)
+    return float(max(w[0], 0.1)), float(w[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: dict[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
@@ -140,11 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
 
     got = labelled_sample(docs, labels, label_col, sample, 3, id_col, text_col).mapInArrow(run, "terms array<int>, y int").toArrow()
     lists = got.column("terms").combine_chunks()
-    terms = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in lists] if len(lists) else []
-    y = got.column("y").to_numpy()
-    order = sorted(range(len(terms)), key=lambda i: (y[i], len(terms[i]), terms[i].sum()))  # the same model at any partitioning
+    terms = [np.sort(x.values.to_numpy(zero_copy_only=False)) for x in lists] if len(lists) else []
+    y = got.column("y").to_numpy().copy()
+    del got, lists
+    order = sorted(range(len(terms)), key=lambda i: (y[i], len(terms[i]), terms[i].sum(dtype=np.int64)))  # the same model at any partitioning
     base = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).agg(F.avg(label_col)).first()[0]
-    return fit_machine([np.sort(terms[i]) for i in order], y[order] if len(y) else y, base=base)
+    return fit_machine([terms[i] for i in order], y[order] if len(y) else y, base=base)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
