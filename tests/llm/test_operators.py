@@ -1,0 +1,378 @@
+"""Brute force, round trips, recall and held-out accuracy of the operators."""
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quarry.llm import ann, bpe, components, gif, html_text, licences, mixing, ngram_join, quality, sharding, toxicity
+from quarry.llm.common import tune
+
+DIR = "/root/testdata/sf0.001"
+
+
+# --- toxicity, quality --------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("module", "label", "least"), [(toxicity, "toxic", 0.9), (quality, "quality", 0.95)])
+def test_held_out_accuracy(spark, module, label, least):
+    tune(spark)
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = module.score(docs, module.train(docs, labels)).filter("held_out").join(labels, "doc_id").select("predicted", F.col(label).alias("y")).collect()
+    tp, fp, fn = (sum(r.predicted == a and r.y == b for r in got) for a, b in ((1, 1), (1, 0), (0, 1)))
+    assert 2 * tp / (2 * tp + fp + fn) >= least
+
+
+def test_machine_learns_a_pair():
+    """Neither term alone is toxic, both together are."""
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(800):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(np.array([1] * a + [2] * b + [int(x) for x in rng.choice(np.arange(10, 40), 3, replace=False)], np.int64))
+        y.append(int(a and b))
+    m = toxicity.fit_machine(rows, np.array(y), epochs=40, sparse=0.0, factor_rate=1.0)
+    assert m.score(np.array([1, 2])) > 0.5 > max(m.score(np.array([1])), m.score(np.array([2])))
+
+
+# --- sharding -----------------------------------------------------------------------------------------------------------
+
+
+def best_capacity(sizes, k):
+    best = {0: 0}
+    for s in range(1, k + 1):
+        new = {}
+        for j in range(len(sizes) + 1):
+            new[j] = min(max(best.get(i, 10**9), sum(sizes[i:j])) for i in range(j + 1) if i in best or i == j == 0)
+        best = new
+    return best[len(sizes)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=12), st.integers(1, 5))
+def test_minimax_is_optimal(sizes, k):
+    a = np.array(sizes)
+    want = best_capacity(sizes, k)
+    assert sharding.smallest_capacity(a, k) == want
+    ends = sharding.minimax_ends(a, k)
+    assert len(ends) == k and ends[-1] == len(sizes) and ends == sorted(ends)
+    assert max(sum(sizes[i:j]) for i, j in zip([0, *ends], ends, strict=False)) == want
+
+
+def test_shards_are_the_optimum_over_groups(spark):
+    rng = random.Random(5)
+    texts = ["t" * rng.randint(0, 400) + str(i) for i in range(3000)] + ["same text" * 20] * 400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard(docs, 8).collect()
+    groups = sharding.sized(docs).groupBy("_h").agg(F.sum("size").alias("s")).orderBy("_h").collect()
+    want = sharding.smallest_capacity(np.array([g.s for g in groups]), 8)
+    total = {}
+    for r in rows:
+        total[r.shard] = total.get(r.shard, 0) + r.size
+    assert max(total.values()) == want and len(total) == 8
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(8) for i in range(sum(r.shard == s for r in rows))]
+    assert len({r.shard for r in rows if r.doc_id >= 3000}) == 1
+
+
+def test_a_huge_group_stands_alone(spark):
+    texts = ["x" * 50 + str(i) for i in range(2000)] + ["huge" * 30] * 2000
+    total = {}
+    for r in sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8).collect():
+        total[r.shard] = total.get(r.shard, 0) + r.size
+    assert len(total) == 8
+    small = sorted(total.values())[:-1]
+    assert max(small) < 1.05 * min(small)
+
+
+# --- licences -----------------------------------------------------------------------------------------------------------
+
+
+def test_templates_and_others():
+    m = licences.train()
+    for family, group in licences.TEMPLATES.items():
+        for text in group:
+            assert any(a in text.lower() for a in licences.ANCHORS)
+            assert m.classify(text)[0] == family, text
+    assert all(m.classify(o)[0] == licences.UNKNOWN for o in licences.OTHERS)
+    assert [x[1] for x in m.scan("first line\nReleased under the MIT License.\nlast")] == ["mit"]
+
+
+# --- bpe ----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def codecs():
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    return bpe.Codec.of(path, public_tokenizers.PATTERN), own
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=80))
+def test_bpe_equals_the_library(codecs, text):
+    ours, own = codecs
+    ids = ours.encode(text)
+    assert [int(i) for i in ids.split()] == own.encode_ordinary(text)
+    assert ours.decode(ids) == text.encode()
+
+
+def test_bpe_documents(spark, codecs):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    out = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=False)
+    for r in out.join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert list(r.ids) == codecs[1].encode_ordinary(r.text) and bytes(r.decoded) == r.text.encode()
+
+
+# --- gif ----------------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(2, 8), st.binary(max_size=5000), st.integers(1, 255))
+def test_lzw_round_trip(bits, data, modulus):
+    data = bytes(b % min(modulus, 1 << bits) for b in data)
+    stream = gif.lzw_encode(data, bits)
+    assert gif.lzw_decode(stream, bits, len(data)) == data
+    assert gif.lzw_decode_all([stream, stream], [bits] * 2, [len(data)] * 2) == [data, data]
+
+
+def test_full_table():
+    data = np.random.default_rng(1).integers(0, 256, 40_000, dtype=np.uint8).tobytes()
+    assert gif.lzw_decode(gif.lzw_encode(data), 8, len(data)) == data
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=2000))
+def test_damaged_files_do_not_crash(data):
+    good = gif.store(gif.payload_of("hello world " * 40)[0])
+    cut = len(data) % len(good)
+    for x in (good[:cut], b"GIF89a" + data, good[:cut] + data):
+        try:
+            list(gif.compose(gif.read(x)))
+        except ValueError:
+            pass
+
+
+def test_disposal_transparency_and_local_palettes():
+    red, blue = bytes([255, 0, 0, 0, 255, 0]), bytes([0, 0, 255, 9, 9, 9])
+    frames = [
+        gif.Frame(0, 0, 2, 2, bytes([0, 0, 0, 0]), red, delay=5),
+        gif.Frame(0, 0, 2, 1, bytes([1, 0]), red, disposal=3, transparent=1),
+        gif.Frame(1, 1, 1, 1, bytes([0]), blue, disposal=2),
+        gif.Frame(0, 0, 1, 1, bytes([1]), red),
+    ]
+    back = gif.read(gif.write(gif.Gif(2, 2, frames=frames), red))
+    assert [f.delay for f in back.frames] == [5, 0, 0, 0] and back.frames[2].palette[:3] == blue[:3]
+    c = list(gif.compose(back))
+    assert c[1][0, 0].tolist() == [255, 0, 0, 255]
+    assert c[2][1, 1].tolist() == [0, 0, 255, 255] and c[2][0, 0].tolist() == [255, 0, 0, 255]
+    assert c[3][1, 1].tolist() == [0, 0, 0, 0] and c[3][0, 0].tolist() == [0, 255, 0, 255]
+    assert gif.histogram(c[3]).sum() == 3
+
+
+def test_interlaced_rows():
+    order = gif._rows(10)
+    assert sorted(order) == list(range(10)) and order[:3] == [0, 8, 4]
+
+
+def test_decode_column(spark):
+    media = gif.store(gif.payload_of("text")[0])
+    df = spark.createDataFrame([(1, media), (2, b"no gif"), (3, None), (4, media[:40])], "id long, media binary")
+    got = {r.id: r for r in gif.decode_column(df).collect()}
+    assert got[1].width == 24 and len(got[1].frames) == 1 and sum(got[1].frames[0].histogram) == 576
+    assert got[2].width is None and got[3].frames is None and got[4].width is not None or got[4].frames is None
+
+
+# --- jaccard join -------------------------------------------------------------------------------------------------------
+
+
+def varied(rng, n):
+    rows = []
+    for _ in range(n):
+        base = [str(rng.randrange(5000)) for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 20, 60, 200]))]
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 5])):
+                w[rng.randrange(len(w))] = "edit"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80), (2, 60)])
+def test_join_equals_brute_force(spark, n, num):
+    tune(spark)
+    rows = varied(random.Random(num), 250)
+    shared = " ".join(str(i) for i in range(9000, 9060))
+    rows += [(10_000 + i, f"{shared} {i} {i + 1} {i + 2} {i % 3}") for i in range(60)]
+    sets = {i: ngram_join.shingles(t, n) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= num * (len(sets[a]) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, num, 100).collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.sampled_from([60, 80, 90]), st.integers(0, 10**6))
+def test_linked_sets_share_a_probed_signature(size, changed, num, seed):
+    """The pigeonhole: whatever linked sets look like, one of them probes a signature that the other one enters."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 2**63, size, dtype=np.uint64)
+    changed = min(changed, size)
+    y = np.unique(np.r_[x[changed:], rng.integers(0, 2**63, int(rng.integers(0, changed + 1)), dtype=np.uint64)])
+    x = np.unique(x)
+    common = len(np.intersect1d(x, y))
+    if not common or 100 * common < num * (len(x) + len(y) - common) or np.array_equal(x, y):
+        return
+    (sx, px), (sy, py) = ngram_join.signatures(x, num, 100), ngram_join.signatures(y, num, 100)
+    hit = set(sx.tolist()) & set(sy.tolist())
+    assert hit
+    # a set may leave out ``spare`` entries of a scheme: so many shared ones must be there that one is left, on one side at least
+    left = lambda s, p: any(sum(v in hit and q == spare for v, q in zip(s.tolist(), p.tolist(), strict=True)) > spare for spare in set(p.tolist()))
+    assert left(sx, px) or left(sy, py)
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(300)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)] + [(7, 7)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    assert got == {x: find(x) for x in parent}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- mixing -------------------------------------------------------------------------------------------------------------
+
+
+def iterated(sizes, weights, cap):
+    """Water-filling as its definition says: hand out by weight, cut, hand out the rest."""
+    target, left, open_ = {}, float(sum(sizes.values())), dict(weights)
+    while open_:
+        total = sum(open_.values())
+        over = [s for s in open_ if left * open_[s] / total > cap * sizes[s] + 1e-9]
+        if not over:
+            return target | {s: left * w / total for s, w in open_.items()}
+        for s in over:
+            target[s] = cap * sizes[s]
+            del open_[s]
+        left = sum(sizes.values()) - sum(target.values())
+    return target
+
+
+def test_water_fill(spark):
+    rng = random.Random(3)
+    for _ in range(4):
+        sizes = {f"s{i:02}": rng.choice([1, 5, 40, 300, 5000]) for i in range(9)}
+        got = {r.source: r.target for r in mixing.water_fill(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        want = iterated(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))}, 3)
+        assert got == pytest.approx(want)
+        assert sum(got.values()) == pytest.approx(sum(sizes.values()))
+
+
+def test_mix_comes_near_and_repeats(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    again = mixing.mix(docs.repartition(7)).collect()
+    assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
+    assert all(r.taken <= 3 * r.size for r in rows)
+    per = {}
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    for r in rows:
+        t = per.setdefault(source[r.doc_id], [r.target, 0, 0])
+        t[1] += r.taken
+        t[2] = max(t[2], r.size)
+    assert all(abs(t[0] - t[1]) <= t[2] for t in per.values())
+
+
+# --- html ---------------------------------------------------------------------------------------------------------------
+
+PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1><nav><ul><li><a href=/a>Home</a></li><li><a>About</a></li></ul></nav></header>
+<div class='cookie-notice'><p>We use cookies to improve your experience on this site. Accept?</p></div><main><article><header><h1>Title &amp; more</h1></header>
+<p>First <b>bold</b>text.<br>Next &nbsp; line</p><div class='ad'><p>Buy now the best thing ever made.</p></div><ul><li>one item</li><li>two items</li></ul>
+<script>var x = "</p>";</script><section id='comments'><article class='comment'><p>I think this is a long comment with words.</p></article></section></article></main>
+<aside class='sidebar'><p>Some related text here.</p></aside><form><label>Name</label></form><footer><p>&copy; 2024 All rights reserved.</p></footer></body></html>"""
+
+
+def test_page():
+    assert html_text.main_text(PAGE) == "Title & more\n\nFirst boldtext. Next line\n\none item\n\ntwo items"
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("<>/\"'= pdivaul!-&;x", max_size=120))
+def test_broken_html(html):
+    assert isinstance(html_text.main_text(html), str)
+
+
+def test_cut_is_minimal():
+    rng = random.Random(8)
+    for _ in range(30):
+        n = rng.randint(1, 7)
+        source, sink = [rng.random() for _ in range(n)], [rng.random() for _ in range(n)]
+        pairs = [(i, j, rng.random()) for i in range(n) for j in range(i) if rng.random() < 0.5]
+        flow = html_text.Flow(n + 2)
+        for i in range(n):
+            flow.edge(n, i, source[i])
+            flow.edge(i, n + 1, sink[i])
+        for i, j, w in pairs:
+            flow.edge(i, j, w, w)
+        cost = lambda keep: sum(sink[i] if keep[i] else source[i] for i in range(n)) + sum(w for i, j, w in pairs if keep[i] != keep[j])  # noqa: B023, E731
+        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert cost(flow.source_side(n, n + 1)[:n]) == pytest.approx(best)
+
+
+# --- nearest neighbours -------------------------------------------------------------------------------------------------
+
+
+def test_recall_and_exact_scores(spark, monkeypatch):
+    tune(spark)
+    monkeypatch.setattr(ann, "BUCKET", 20)  # so that buckets are split
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect() + [(10_000 + i, [1.0] * 64) for i in range(40)]
+    df = spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    ids, m = np.array([r[0] for r in rows]), np.array([list(r[1]) for r in rows], np.float64)
+    norm, hits, n = np.linalg.norm(m, axis=1), 0, 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = m @ m[q] / (norm * norm[q])
+        s[ids == ids[q]] = -9
+        best = set(ids[np.lexsort((ids, -np.round(s, 12)))[:5]])
+        hits, n = hits + len(best & {v for v, _ in got[ids[q]].values()}), n + 5
+        assert sorted(got[ids[q]]) == [1, 2, 3, 4, 5]
+        for v, score in got[ids[q]].values():
+            assert score == pytest.approx(s[np.flatnonzero(ids == v)[0]], abs=1e-12)
+    assert hits / n >= 0.9
+
+
+def test_held_out_rule(spark):
+    from quarry.llm.common import held_out
+
+    got = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
