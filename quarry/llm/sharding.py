@@ -1,6 +1,7 @@
 """Sharding by minimax contiguous partition.
 
-Documents with equal texts form one atomic group, and groups lie in the order of a 64-bit hash of their text. The smallest
+Documents with equal texts form one atomic group. Groups that exceed an even share stand first, one in a shard; the others
+lie in the order of a 64-bit hash of their text. The smallest
 feasible shard capacity over that order comes from a binary search whose check is greedy. The driver never sees the
 groups themselves: it starts from 4096 ranges of the hash and opens, 12 bits at a time, only the ranges in which a cut can
 fall for a capacity that is still possible. What it gathers is bounded by (open ranges) x 4096 at every level.
@@ -76,8 +77,6 @@ def smallest_capacity(sizes: np.ndarray, shards: int) -> int:
     """Binary search of the least capacity for which the greedy check succeeds."""
     if not len(sizes):
         return 0
-    if shards < 1:
-        return int(sizes.sum()) + 1 << 40
     prefix = np.cumsum(sizes)
     lo, hi = max(int(sizes.max()), -(-int(prefix[-1]) // shards)), int(prefix[-1])
     while lo < hi:
@@ -90,28 +89,28 @@ def smallest_capacity(sizes: np.ndarray, shards: int) -> int:
 
 
 def minimax_ends(sizes: np.ndarray, shards: int) -> list[int]:
-    """Ends of the shards at the smallest capacity.
+    """Ends of the shards at the smallest capacity."""
+    if not len(sizes):
+        return [0] * shards
+    return greedy_cuts(np.cumsum(sizes), smallest_capacity(sizes, shards), shards)
 
-    When one atom alone sets that capacity, it gets a shard of its own and the rest is divided anew on both sides of
-    it, so that one large group doesn't leave other shards empty.
-    """
-    n = len(sizes)
-    if shards <= 1 or n == 0:
-        return [n] * max(shards, 0)
-    capacity = smallest_capacity(sizes, shards)
-    top = int(np.argmax(sizes))
-    if n > shards and int(sizes[top]) == capacity and capacity * shards > int(sizes.sum()) * 1.02:
-        left, right = sizes[:top], sizes[top + 1 :]
-        fits = [k for k in range(shards) if (k > 0 or not len(left)) and (k < shards - 1 or not len(right))]
-        if fits:
-            k = min(fits, key=lambda k: max(smallest_capacity(left, k), smallest_capacity(right, shards - 1 - k)))
-            return minimax_ends(left, k) + [top + 1] + [top + 1 + e for e in minimax_ends(right, shards - 1 - k)]
-    return greedy_cuts(np.cumsum(sizes), capacity, shards) or [n] * shards
+
+def oversized(sizes: np.ndarray, shards: int, total: int) -> list[int]:
+    """Places of the groups that alone exceed an even share of what is left without them; each gets a shard of its own."""
+    out: list[int] = []
+    left = total
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        if len(out) == shards - 1 or int(sizes[i]) * (shards - len(out)) <= left:
+            break
+        out.append(i)
+        left -= int(sizes[i])
+    return out
 
 
 def _needed(atoms: _Atoms, shards: int) -> np.ndarray:
     """Which ranges must be opened: those in which a cut can fall, and those as large as a part of a shard.
 
+    Ranges as large as a part of a shard come first, so that oversized groups stand alone before cuts are looked for.
     A cut lies between where greedy cuts fall that never split a range, at the least conceivable capacity, and where those
     fall that split ranges anywhere, at the capacity found so far.
     """
@@ -121,7 +120,16 @@ def _needed(atoms: _Atoms, shards: int) -> np.ndarray:
     start = prefix - atoms.total
     low = max(-(-total // shards), int(atoms.total[atoms.single].max(initial=1)))
     high = smallest_capacity(atoms.total, shards)
-    mask = atoms.total * 4 * shards > total
+    large = (atoms.total * 4 * shards > total) & ~atoms.single & (atoms.shift > 0)
+    if large.any():
+        return large
+    alone = oversized(np.where(atoms.single, atoms.total, 0), shards, total)
+    if alone:
+        rest = np.setdiff1d(np.arange(len(atoms.total)), alone)
+        mask = np.zeros(len(atoms.total), bool)
+        mask[rest] = _needed(_Atoms(atoms.key[rest], atoms.total[rest], atoms.single[rest], atoms.shift[rest]), shards - len(alone))
+        return mask
+    mask = np.zeros(len(atoms.total), bool)
     least = most = 0
     for _ in range(1, shards):
         at = min(int(np.searchsorted(prefix, least + low, side="right")), len(prefix) - 1)
@@ -134,23 +142,20 @@ def _needed(atoms: _Atoms, shards: int) -> np.ndarray:
     return mask & ~atoms.single & (atoms.shift > 0)
 
 
-def shard_starts(rows: DataFrame, shards: int) -> list[int]:
-    """First hashes of shards 1, 2, ...: a row's shard is the number of starts at or below its hash."""
-    shift = 64 - BITS
-    atoms = _fetch(rows, shift, None)
-    while shift > 0:
-        mask = _needed(atoms, shards)
-        if not mask.any():
-            break
-        finer = max(0, shift - BITS)
+def shard_rule(rows: DataFrame, shards: int) -> tuple[list[int], list[int]]:
+    """(hashes of oversized groups, first hashes of the later shards).
+
+    Oversized groups stand first in the order and take shards 0, 1, ...; the other groups follow by hash.
+    """
+    atoms = _fetch(rows, 64 - BITS, None)
+    while (mask := _needed(atoms, shards)).any():
+        shift = int(atoms.shift[mask].max())
         mask &= atoms.shift == shift
-        if not mask.any():
-            break
-        atoms = atoms.opened(mask, _fetch(rows, finer, (shift, [int(k) >> shift for k in atoms.key[mask]])))
-        shift = finer
-    ends = minimax_ends(atoms.total, shards)
-    top = np.iinfo(np.int64).max
-    return [int(atoms.key[e]) if e < len(atoms.key) else int(top) for e in ends[:-1]]
+        atoms = atoms.opened(mask, _fetch(rows, max(0, shift - BITS), (shift, [int(k) >> shift for k in atoms.key[mask]])))
+    alone = oversized(atoms.total, shards, int(atoms.total.sum()))
+    rest = np.setdiff1d(np.arange(len(atoms.total)), alone)
+    keys, ends = atoms.key[rest], minimax_ends(atoms.total[rest], shards - len(alone))
+    return [int(atoms.key[i]) for i in alone], [int(keys[e]) for e in ends[:-1] if e < len(keys)]
 
 
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,10 +166,12 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     an empty result. Only the named columns are read, so other columns can have any names.
     """
     rows = materialize(sized(docs, id_col, text_col), "shard")
-    starts = shard_starts(rows, shards)
-    number = F.lit(0)
+    alone, starts = shard_rule(rows, shards)
+    number = F.lit(len(alone))
     for s in starts:
         number = number + (F.col("_h") >= F.lit(s).cast("long")).cast("int")
+    for i, s in enumerate(alone):
+        number = F.when(F.col("_h") == F.lit(s).cast("long"), i).otherwise(number)
     dealt = rows.select("*", number.alias("shard"), F.pmod(F.xxhash64("doc_id", "_h"), F.lit(SALTS)).cast("int").alias("_salt"))
     counts = dealt.groupBy("shard", "_salt").agg(F.count("*").alias("_n"))
     before = W.partitionBy("shard").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
