@@ -19,11 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarry.llm.common import materialize
+
 TABLES, HASHES, WIDTH, COVER = 4, 8, 2.0, 0.55
 #: Rows of the sample that gives the dimension and the distance scale.
 SAMPLE = 4096
 BUCKET, GROUP_ROWS, GROUPS = 5000, 20_000, 128
 SPAN = 4
+QUERY_BLOCK = 1024
 
 
 @dataclass
@@ -104,7 +107,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     """The k nearest rows of each query by cosine: query_id, rank, vec_id, score.
 
     ``is_query`` selects the query rows, for example ``col("vec_id") % 50 == 0``. A query finds every usable row but those
-    with its own id, so fewer than k only if there are no more or the probes miss. Nearest first, ties to the smaller id.
+    with its own id; where the probes find fewer than k, it is compared with every entry, so fewer than k come back only if there
+    are no more. Nearest first, ties to the smaller id.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length differs from
     the most common one of the sample, nor rows with a null id; repeated rows count once. Equal vectors share one index
     entry, so a very common vector costs no more than others. An empty table gives an empty result. Only the named columns are read.
@@ -193,9 +197,40 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
     found = stored.groupBy("_g").cogroup(visits.groupBy("_g")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    found = materialize(_best(found, k), "found")
+    count = found.groupBy("query_id").count()
+    short = asked.join(count.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").filter(F.coalesce("count", F.lit(0)) < k).select("vec_id", "embedding")
+    blocks = -(-short.count() // QUERY_BLOCK)
+    for i in range(blocks):  # the probes found fewer than k: these queries see every entry
+        block = short.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow()
+        found = found.unionByName(_exact(entries, block.column(0).to_pylist(), _matrix(block.column(1), dim), dim, k))
+    return found if not blocks else _best(found, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k first of each query; an entry that several groups found counts once."""
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (
-        found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _exact(entries: DataFrame, queries: list[int], asks: np.ndarray, dim: int, k: int) -> DataFrame:
+    """Every entry against a block of queries of bounded size; k rows a query leave each batch."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            vec, ids = _matrix(batch.column(0), dim), batch.column(1).to_pylist()
+            norm = np.linalg.norm(vec, axis=1)
+            q_out, v_out, s_out = [], [], []
+            for q, query in zip(queries, asks, strict=True):
+                score = np.einsum("nd,d->n", vec, query) / (norm * np.linalg.norm(query))
+                edge = max(0, len(score) - k - 1)
+                best = np.flatnonzero(score >= np.partition(score, edge)[edge])
+                near = sorted((-float(score[i]), v) for i in best for v in ids[i] if v != q)[:k]
+                q_out += [q] * len(near)
+                v_out += [v for _, v in near]
+                s_out += [-s for s, _ in near]
+            yield pa.RecordBatch.from_arrays([pa.array(q_out, pa.int64()), pa.array(v_out, pa.int64()), pa.array(s_out, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    return entries.select("embedding", "ids").mapInArrow(run, "query_id long, vec_id long, score double").select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
