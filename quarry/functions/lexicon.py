@@ -58,6 +58,9 @@ FOLDED_COLOURS = (
     "indigo petrol"
 ).split()
 FOLDED_MATERIALS = "pamuk pamuklu deri polyester yun keten naylon celik plastik ahsap akrilik viskon modal bambu".split()
+ACCESSORY_WORDS = (
+    "kılıf kapak koruyucu ekran aksesuar şarj kablo tutucu stand uyumlu için compatible cover case yedek parça filtre toner mürekkep kartuş"
+).split()
 #: Letters of a word, for word-bounded patterns that mean the same in every engine.
 LETTERS = "0-9a-zçğıöşü"
 

@@ -83,6 +83,15 @@ def product_cover(query_text: Column, query: Column, words: Column, brand: Colum
     return F.when(F.size(keep) == 0, coverage(query, words)).otherwise(F.size(F.filter(keep, lambda w: word_match(w, words, own))) / F.size(keep))
 
 
+def product_words_cover(query: Column, words: Column, brand: Column, pack: Pack = TURKISH) -> Column:
+    """As ``product_cover``, but brand words are always dropped, and a query without product words gives 0."""
+    typed = [*pack.gender, *pack.age, *pack.colours, *pack.materials, *pack.stop]
+    b = brand_tokens(brand)
+    keep = F.filter(without(query, typed), lambda w: (F.length(w) > 1) & ~F.array_contains(b, w))
+    own = stems(words)
+    return _share(F.size(F.filter(keep, lambda w: word_match(w, words, own))), F.size(keep))
+
+
 def attribute_jaccard(query: Column, attributes: Column) -> Column:
     """Jaccard with the values of the map; with the raw text where it holds none."""
     has = F.size(attrs.entries(attributes)) > 0

@@ -39,7 +39,7 @@ def oof_scores(
 ) -> tuple[DataFrame, list]:
     """(df with ``fold`` and ``score``, models): each row scored by the trees that never saw its group.
 
-    One fold of the training rows serves for early stopping. Features are averaged over models by ``importances``.
+    One fold of the training rows serves for early stopping, if there are more than two folds. Features are averaged over models by ``importances``.
     """
     cats = categorical or []
     data = class_weight(df, label).withColumn("fold", fold_of(group, folds, seed)).withColumn("label", F.col(label).cast("double"))
@@ -48,7 +48,7 @@ def oof_scores(
     data = VectorAssembler(inputCols=[*features, *[f"{c}_ix" for c in cats]], outputCol="_x", handleInvalid="keep").transform(data)
     out, models = None, []
     for f in range(folds):
-        train = data.filter(F.col("fold") != f).withColumn("_stop", F.col("fold") == (f + 1) % folds)
+        train = data.filter(F.col("fold") != f).withColumn("_stop", (F.col("fold") == (f + 1) % folds) if folds > 2 else F.lit(False))
         gbt = GBTClassifier(featuresCol="_x", labelCol="label", weightCol="weight", validationIndicatorCol="_stop", maxIter=iterations, maxDepth=depth, maxBins=64, seed=seed)
         model = gbt.fit(train)
         models.append(model)

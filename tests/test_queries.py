@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from quarry.plans import models, relational, text_features  # noqa: F401
+from quarry.plans import extras, models, relational, text_features  # noqa: F401
 from quarry.plans.registry import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -28,7 +28,7 @@ def test_oracle(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["fuzzy_ratios", "cross_query_negatives"])
+@pytest.mark.parametrize("name", ["fuzzy_ratios", "cross_query_negatives", "pair_feature_frame", "labeler_feature_frame"])
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
