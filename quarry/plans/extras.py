@@ -66,11 +66,11 @@ CHARS = "unnest(list_concat([x[i:i + 2] FOR i IN range(1, greatest(length(x) - 2
 
 @query(f"""WITH cw AS (SELECT term_id, ' ' || unnest({tok('query')}) || ' ' AS x FROM terms), cg AS (SELECT term_id, {CHARS} AS term FROM cw), tf AS (SELECT term_id, term, count(*) AS tf FROM cg GROUP BY 1, 2), dfx AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
   w0 AS (SELECT term_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM terms)) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN dfx USING (term)), w1 AS (SELECT term_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY term_id)) AS w FROM w0),
-  s AS (SELECT a.term_id, b.term_id AS other, round(sum(a.w * b.w), 6) AS score FROM w1 a JOIN w1 b ON a.term = b.term WHERE a.term_id % 10 = 0 AND a.term_id <> b.term_id GROUP BY 1, 2) SELECT term_id, other, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, other) AS INT) AS rank FROM s WHERE score >= 0.05 QUALIFY rank <= 10""")
+  s AS (SELECT a.term_id, b.term_id AS other, round(sum(a.w * b.w), 6) AS score FROM w1 a JOIN w1 b ON a.term = b.term WHERE a.term_id % 20 = 0 AND a.term_id <> b.term_id GROUP BY 1, 2) SELECT term_id, other, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, other) AS INT) AS rank FROM s WHERE score >= 0.05 QUALIFY rank <= 10""")
 def char_tfidf_neighbours(t):
     texts = t.terms.select("term_id", text.char_ngrams(text.tokens(c("query"))).alias("g"))
     w = weights.tfidf(texts, texts, "term_id", c("g"))
-    s = weights.cosine(w.filter("term_id % 10 = 0"), w.withColumnRenamed("term_id", "other"), "term_id", "other").filter("term_id <> other").withColumn("score", F.round("score", 6)).filter("score >= 0.05")
+    s = weights.cosine(w.filter("term_id % 20 = 0"), w.withColumnRenamed("term_id", "other"), "term_id", "other").filter("term_id <> other").withColumn("score", F.round("score", 6)).filter("score >= 0.05")
     return relational.top_k(s, "term_id", 10, c("score").desc(), c("other")).select("term_id", "other", "score", "rank")
 
 
@@ -99,10 +99,10 @@ def category_negatives_per_term(t):
     return relational.unseen(got, t.pairs, "term_id", "item_id")
 
 
-@query(f"WITH {TFIDF}, s AS (SELECT term_id, item_id, round(sum(qw.w * iw.w), 6) AS score FROM qw JOIN iw USING (term) WHERE term_id % 10 = 0 GROUP BY 1, 2 HAVING round(sum(qw.w * iw.w), 6) > 0.01), a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) <= 60) SELECT term_id, item_id, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) AS INT) AS rank FROM a WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.term_id = a.term_id AND p.item_id = a.item_id) QUALIFY rank <= 20")
+@query(f"WITH {TFIDF}, s AS (SELECT term_id, item_id, round(sum(qw.w * iw.w), 6) AS score FROM qw JOIN iw USING (term) WHERE term_id % 20 = 0 GROUP BY 1, 2 HAVING round(sum(qw.w * iw.w), 6) > 0.01), a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) <= 60) SELECT term_id, item_id, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) AS INT) AS rank FROM a WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.term_id = a.term_id AND p.item_id = a.item_id) QUALIFY rank <= 20")
 def tfidf_mined_negatives(t):
     iw, qw = _tfidf(t)
-    s = weights.cosine(qw.filter("term_id % 10 = 0"), iw, "term_id", "item_id").withColumn("score", F.round("score", 6))
+    s = weights.cosine(qw.filter("term_id % 20 = 0"), iw, "term_id", "item_id").withColumn("score", F.round("score", 6))
     return negatives.mined_by_similarity(s, t.pairs, 60, 20, 0.01).select("term_id", "item_id", "score", "rank")
 
 

@@ -36,19 +36,19 @@ def inner_join_dimensions(t):
     return t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name")
 
 
-@query("SELECT p.item_id, coalesce(b.n, 0) AS n FROM items p LEFT JOIN (SELECT item_id, count(*) AS n FROM pairs WHERE term_id % 3 = 0 GROUP BY 1) b USING (item_id)")
+@query("SELECT p.item_id, coalesce(b.n, 0) AS n FROM items p LEFT JOIN (SELECT item_id, count(*) AS n FROM scores WHERE label = 1 GROUP BY 1) b USING (item_id)")
 def lookup_with_default(t):
-    return relational.lookup(t.items.select("item_id"), t.pairs.filter("term_id % 3 = 0").groupBy("item_id").agg(F.count("*").alias("n")), "item_id", {"n": 0})
+    return relational.lookup(t.items.select("item_id"), t.scores.filter("label = 1").groupBy("item_id").agg(F.count("*").alias("n")), "item_id", {"n": 0})
 
 
-@query("SELECT term_id, item_id FROM scores s WHERE score > 0.5 AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.term_id = s.term_id AND p.item_id = s.item_id AND p.item_id % 2 = 0)")
+@query("SELECT term_id, item_id FROM scores s WHERE score > 0.5 AND NOT EXISTS (SELECT 1 FROM scores p WHERE p.term_id = s.term_id AND p.item_id = s.item_id AND p.label = 1)")
 def anti_join_unseen_pairs(t):
-    return relational.unseen(t.scores.filter("score > 0.5").select("term_id", "item_id"), t.pairs.filter("item_id % 2 = 0"), "term_id", "item_id")
+    return relational.unseen(t.scores.filter("score > 0.5").select("term_id", "item_id"), t.scores.filter("label = 1"), "term_id", "item_id")
 
 
-@query("SELECT item_id, title FROM items WHERE item_id IN (SELECT item_id FROM pairs WHERE term_id % 50 = 0)")
+@query("SELECT item_id, title FROM items WHERE item_id IN (SELECT item_id FROM scores WHERE score > 0.99)")
 def semi_join_known_items(t):
-    return t.items.select("item_id", "title").join(t.pairs.filter("term_id % 50 = 0"), "item_id", "left_semi")
+    return t.items.select("item_id", "title").join(t.scores.filter("score > 0.99"), "item_id", "left_semi")
 
 
 @query("SELECT a.term_id, b.term_id AS other, count(*) AS n FROM pairs a JOIN pairs b USING (item_id) WHERE a.term_id <> b.term_id GROUP BY 1, 2 HAVING count(*) >= 3")
@@ -144,9 +144,9 @@ def mean_having(t):
     return t.scores.join(t.items, "item_id").groupBy("brand").agg(F.avg("label").alias("mean"), F.count("*").alias("n")).filter("n >= 30")
 
 
-@query("SELECT term_id, list_sort(list(item_id)) AS item_list FROM pairs WHERE term_id % 20 = 0 GROUP BY 1".replace("list_sort(list(item_id)) AS item_list", "array_to_string(list_sort(list(item_id)), ',') AS item_list"))
+@query("SELECT term_id, list_sort(list(item_id)) AS item_list FROM pairs GROUP BY 1".replace("list_sort(list(item_id)) AS item_list", "array_to_string(list_sort(list(item_id)), ',') AS item_list"))
 def grouped_list(t):
-    return t.pairs.filter("term_id % 20 = 0").groupBy("term_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string")), ",").alias("item_list"))
+    return t.pairs.groupBy("term_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string")), ",").alias("item_list"))
 
 
 @query(r"""WITH parts AS (SELECT unnest(string_split(attributes, ',')) AS p FROM items WHERE attributes <> 'unknown'), kv AS (SELECT trim(substring(p, 1, instr(p, ':') - 1)) AS k, trim(substring(p, instr(p, ':') + 1)) AS v FROM parts WHERE contains(p, ':'))
@@ -206,9 +206,9 @@ def rank_range(t):
 
 
 @query("""WITH a AS (SELECT term_id, item_id, score FROM scores QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) <= 30)
-  SELECT term_id, item_id, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) AS INT) AS rank FROM a WHERE item_id % 3 <> 0 QUALIFY rank <= 5""")
+  SELECT term_id, item_id, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) AS INT) AS rank FROM a WHERE NOT EXISTS (SELECT 1 FROM scores k WHERE k.term_id = a.term_id AND k.item_id = a.item_id AND k.label = 1) QUALIFY rank <= 5""")
 def first_n_after_exclusion(t):
-    known = t.pairs.filter("item_id % 3 = 0")
+    known = t.scores.filter("label = 1").select("term_id", "item_id")
     return relational.after_exclusion(t.scores.drop("label"), known, "term_id", ["term_id", "item_id"], 30, 5, F.col("score").desc(), F.col("item_id"))
 
 
@@ -218,12 +218,12 @@ def first_wins(t):
 
 
 @query("""WITH p AS (SELECT string_split(category, '/')[1] AS main, item_id, row_number() OVER (PARTITION BY string_split(category, '/')[1] ORDER BY item_id) - 1 AS slot FROM items),
-  k AS (SELECT string_split(category, '/')[1] AS main, term_id, row_number() OVER (PARTITION BY string_split(category, '/')[1] ORDER BY term_id, i.item_id) - 1 AS taker FROM pairs JOIN items i USING (item_id) WHERE term_id % 40 = 0)
+  k AS (SELECT string_split(category, '/')[1] AS main, term_id, row_number() OVER (PARTITION BY string_split(category, '/')[1] ORDER BY term_id, i.item_id) - 1 AS taker FROM pairs JOIN items i USING (item_id))
   SELECT main, term_id, item_id FROM p JOIN k USING (main) WHERE slot // 2 = taker""".replace("i.item_id", "item_id"))
 def pool_consumption(t):
     main = F.get(F.split("category", "/"), 0).alias("main")
     pool = t.items.select(main, "item_id")
-    takers = t.pairs.filter("term_id % 40 = 0").join(t.items.select("item_id", main), "item_id").select("main", "term_id", F.col("item_id").alias("_i"))
+    takers = t.pairs.join(t.items.select("item_id", main), "item_id").select("main", "term_id", F.col("item_id").alias("_i"))
     return relational.consume(pool, takers, "main", 2, [F.col("item_id")], [F.col("term_id"), F.col("_i")]).select("main", "term_id", "item_id")
 
 
@@ -264,18 +264,18 @@ def rare_sources_and_fill(t):
 # --- set operations -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT term_id, item_id, 'a' AS src FROM pairs WHERE item_id % 3 = 0 UNION ALL SELECT term_id, item_id, 'b' FROM pairs WHERE item_id % 2 = 0 AND item_id % 3 <> 0 UNION ALL SELECT term_id, item_id, 'c' FROM pairs WHERE item_id % 5 = 0 AND item_id % 2 <> 0 AND item_id % 3 <> 0")
+@query("SELECT term_id, item_id, CASE WHEN label = 1 THEN 'a' WHEN score > 0.5 THEN 'b' ELSE 'c' END AS src FROM scores")
 def priority_union_dedup(t):
-    part = lambda m, s: t.pairs.filter(f"item_id % {m} = 0").withColumn("src", F.lit(s))
-    return relational.union_by_priority([part(3, "a"), part(2, "b"), part(5, "c")], ["term_id", "item_id"])
+    part = lambda condition, s: t.scores.filter(condition).select("term_id", "item_id", F.lit(s).alias("src"))
+    return relational.union_by_priority([part("label = 1", "a"), part("score > 0.5", "b"), part("true", "c")], ["term_id", "item_id"])
 
 
-@query("""SELECT (SELECT count(*) FROM (SELECT item_id FROM pairs WHERE term_id % 2 = 0 INTERSECT SELECT item_id FROM pairs WHERE term_id % 2 = 1)) AS both_sides,
-  (SELECT count(*) FROM (SELECT item_id FROM pairs WHERE term_id % 7 = 0 EXCEPT SELECT item_id FROM pairs WHERE term_id % 7 = 1)) AS one_side, (SELECT count(*) FROM (SELECT DISTINCT brand, gender FROM items)) AS n_distinct""")
+@query("""SELECT (SELECT count(*) FROM (SELECT item_id FROM scores WHERE label = 1 INTERSECT SELECT item_id FROM scores WHERE label = 0)) AS both_sides,
+  (SELECT count(*) FROM (SELECT item_id FROM scores WHERE score > 0.9 EXCEPT SELECT item_id FROM scores WHERE score < 0.1)) AS one_side, (SELECT count(*) FROM (SELECT DISTINCT brand, gender FROM items)) AS n_distinct""")
 def key_set_operations(t):
-    ids = lambda c: t.pairs.filter(c).select("item_id")
-    a = ids("term_id % 2 = 0").intersect(ids("term_id % 2 = 1")).agg(F.count("*").alias("both_sides"))
-    b = ids("term_id % 7 = 0").subtract(ids("term_id % 7 = 1")).agg(F.count("*").alias("one_side"))
+    ids = lambda condition: t.scores.filter(condition).select("item_id")
+    a = ids("label = 1").intersect(ids("label = 0")).agg(F.count("*").alias("both_sides"))
+    b = ids("score > 0.9").subtract(ids("score < 0.1")).agg(F.count("*").alias("one_side"))
     return a.crossJoin(b).crossJoin(t.items.select("brand", "gender").distinct().agg(F.count("*").alias("n_distinct")))  # one row each
 
 

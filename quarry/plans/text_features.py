@@ -70,9 +70,9 @@ def char_ngrams(t):
     return t.terms.select(F.explode(text.tokens(c("query"))).alias("w")).distinct().select("w", F.array_join(text.char_ngrams(F.array("w")), "|").alias("grams"))
 
 
-@query(r"""SELECT page_id, length(trim(substr(regexp_replace(html, '[\x00-\x1f\x7f-\x{9f}]', ' ', 'g'), 1, 400))) AS n_clean, md5(regexp_replace(lower(substr(html, 1, 200)), '[^a-z0-9çğıöşü\s]', ' ', 'g')) AS stripped FROM pages""", adapters=False)
+@query(r"""SELECT page_id, length(trim(substr(regexp_replace(html, '[\x00-\x1f\x7f-\x{9f}]', ' ', 'g'), 1, 400))) AS n_clean, md5(regexp_replace(lower(html), '[^a-z0-9çğıöşü\s]', ' ', 'g')) AS stripped FROM pages""", adapters=False)
 def text_clean(t):
-    return t.pages.select("page_id", F.length(text.clean_control(c("html"))).cast("long").alias("n_clean"), F.md5(text.strip_punctuation(F.lower(F.substring("html", 1, 200)))).alias("stripped"))
+    return t.pages.select("page_id", F.length(text.clean_control(c("html"))).cast("long").alias("n_clean"), F.md5(text.strip_punctuation(F.lower("html"))).alias("stripped"))
 
 
 @query(f"""WITH t AS (SELECT term_id, query, {tok('query')} AS ws FROM terms), k AS (SELECT *, [w FOR w IN ws IF w NOT IN ({quoted(L.STOP_FUNCTION)}) AND length(w) > 1] AS cw FROM t)
@@ -356,10 +356,10 @@ def tfidf_cosine(t):
     return p.groupBy("term_id", "item_id").agg(F.round(F.sum(c("_q") * c("_i")), 6).alias("score"))
 
 
-@query(f"WITH {TFIDF}, s AS (SELECT term_id, item_id, round(sum(qw.w * iw.w), 6) AS score FROM qw JOIN iw USING (term) WHERE term_id % 10 = 0 GROUP BY 1, 2) SELECT term_id, item_id, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) AS INT) AS rank FROM s QUALIFY rank <= 10")
+@query(f"WITH {TFIDF}, s AS (SELECT term_id, item_id, round(sum(qw.w * iw.w), 6) AS score FROM qw JOIN iw USING (term) WHERE term_id % 20 = 0 GROUP BY 1, 2) SELECT term_id, item_id, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) AS INT) AS rank FROM s QUALIFY rank <= 10")
 def tfidf_retrieval_topk(t):
     iw, qw = _tfidf(t)
-    s = weights.cosine(qw.filter("term_id % 10 = 0"), iw, "term_id", "item_id").withColumn("score", F.round("score", 6))
+    s = weights.cosine(qw.filter("term_id % 20 = 0"), iw, "term_id", "item_id").withColumn("score", F.round("score", 6))
     return relational.top_k(s, "term_id", 10, c("score").desc(), c("item_id")).select("term_id", "item_id", "score", "rank")
 
 
@@ -373,12 +373,12 @@ def bm25_topk(t):
     return relational.top_k(s, "item_id", 5, c("score").desc(), c("doc_id")).select("item_id", "doc_id", "score", "rank")
 
 
-@query(f"""WITH v AS (SELECT DISTINCT unnest({tok('title')}) AS term FROM items WHERE item_id % 2 = 0), {PAIR}, g AS (SELECT term_id, item_id, list_distinct(list_concat(q, [q[i] || ' ' || q[i + 1] FOR i IN range(1, len(q))])) AS a, list_distinct(list_concat(tt, [tt[i] || ' ' || tt[i + 1] FOR i IN range(1, len(tt))])) AS b FROM pp WHERE term_id % 5 = 0),
+@query(f"""WITH v AS (SELECT term FROM (SELECT unnest({tok('title')}) AS term FROM items) GROUP BY 1 HAVING count(*) >= 5), {PAIR}, g AS (SELECT term_id, item_id, list_distinct(list_concat(q, [q[i] || ' ' || q[i + 1] FOR i IN range(1, len(q))])) AS a, list_distinct(list_concat(tt, [tt[i] || ' ' || tt[i + 1] FOR i IN range(1, len(tt))])) AS b FROM pp),
   k AS (SELECT term_id, item_id, list_intersect(a, (SELECT list(term) FROM v)) AS a, list_intersect(b, (SELECT list(term) FROM v)) AS b FROM g)
   SELECT term_id * 1000000 + item_id AS pair, CAST(len(list_intersect(a, b)) AS BIGINT) AS n, round(len(list_intersect(a, b)) / (len(a) + 1e-6), 9) AS ratio, round(len(list_intersect(a, b)) / (len(list_distinct(list_concat(a, b))) + 1e-6), 9) AS jaccard FROM k""")
 def vocabulary_ngram_overlap(t):
-    v = t.items.filter("item_id % 2 = 0").select(F.explode(text.tokens(c("title"))).alias("term")).distinct()
-    p = t.pairs.filter("term_id % 5 = 0").join(t.terms, "term_id").join(t.items, "item_id").withColumn("pair", c("term_id") * 1000000 + c("item_id"))
+    v = t.items.select(F.explode(text.tokens(c("title"))).alias("term")).groupBy("term").count().filter("count >= 5").select("term")
+    p = t.pairs.join(t.terms, "term_id").join(t.items, "item_id").withColumn("pair", c("term_id") * 1000000 + c("item_id"))
     return weights.vocabulary_overlap(p, c("query"), c("title"), v, "pair").select("pair", "n", F.round("ratio", 9).alias("ratio"), F.round("jaccard", 9).alias("jaccard"))
 
 
