@@ -23,12 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.filter("a <> b").distinct(), "edges")
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = materialize(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")), "parent")
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")), "parent")
+        parent = least
         for _ in range(2):
-            up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            up = least.select(F.col("a").alias("p"), F.col("p").alias("q"))
             parent = parent.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-        parent = materialize(parent, "parent")
-        move = lambda df, c: df.join(parent.select(F.col("a").alias(c), "p"), c, "left").withColumn(c, F.coalesce("p", c)).drop("p")
+        move = lambda df, c: df.join(parent.select(F.col("a").alias(c), "p"), c, "left").withColumn(c, F.coalesce("p", c)).drop("p")  # noqa: B023, E731
         labels = materialize(move(labels, "label").select("node", "label"), "labels")
         edges = materialize(move(move(edges, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     return labels

@@ -11,9 +11,9 @@ most H must agree in some segment if one of them fills more than H segments, so
   two from each of its segments: it enters them with all one-deletion neighbours, in a space of their own, which is complete for
   pairs of two such sets; and a last space joins those for which even this falls short.
 * Copies: equal sets are one class from the start. Only classes are joined.
-* Links: each candidate first links to one hub of its segment, then only pairs between different components are
-  compared, so groups of near copies don't cost all pairs. A parity sketch bounds the difference from below and
-  drops pairs that can't link. The rest is verified on the n-grams themselves.
+* Links: each candidate first links to one hub of its segment, then to a few more where segments are large, and only what
+  lies in different components after that is compared pair by pair, so groups of near copies don't cost all pairs. Parity sketches bound the difference from below and
+  drop pairs that can't link. The rest is verified on the n-grams themselves.
 
 64-bit hashes stand for n-grams in the candidate search and 128 bits for the set of a class. A collision can add
 candidates, which verification removes.
@@ -39,6 +39,8 @@ SKETCH = 8
 CACHE = 200_000
 #: Sets of ids up to this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Drawn hubs of a large segment in the first round after the star; MORE_HUBS times as many in each further round.
+HUBS, MORE_HUBS = 16, 64
 _MIX1, _MIX2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _33 = np.uint64(33)
 
@@ -156,28 +158,46 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def wide_sketch(h: np.ndarray) -> bytes:
+    """The same parities in a power of two of cells, at least twice the size of the set."""
+    cells = 64 << max(0, (len(h) - 1) // 32).bit_length()
+    return np.packbits((np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_apart(a: bytes, b: bytes) -> int:
+    """Cells in which two wide sketches differ; the longer one is folded, which gives the parities in fewer cells."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, th, key, size, s0...): the set of every row. key: 128 bits of the set, null for an empty one."""
+    """(doc_id, th, key, node, size, wide, s0...): the set of every row. key: 128 bits of the set, null for an empty one."""
     import pyarrow as pa
 
     def run(batches):
         hasher = Hasher(n)
         for batch in batches:
-            keys, sizes, sketches = [], [], []
+            keys, sizes, wide, sketches = [], [], [], []
             for t in batch.column(2).to_pylist():
                 h = hasher(t)
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 sizes.append(len(h))
+                wide.append(wide_sketch(h) if len(h) else None)
                 sketches.append(sketch(h))
             cells = np.array(sketches, np.int64).reshape(-1, SKETCH)
             nodes = [int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(cells[:, k]) for k in range(SKETCH))],
-                names=["doc_id", "th", "key", "node", "size", *(f"s{k}" for k in range(SKETCH))],
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()), *(pa.array(cells[:, k]) for k in range(SKETCH))],
+                names=["doc_id", "th", "key", "node", "size", "wide", *(f"s{k}" for k in range(SKETCH))],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, th long, key binary, node long, size long, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
+    return docs.mapInArrow(run, f"doc_id {kind}, th long, key binary, node long, size long, wide binary, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
 
 
 def _index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -207,9 +227,19 @@ def _index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose n-gram sets link, compared on the n-grams themselves."""
+    """The pairs (a, b) whose n-gram sets link: what wide sketches leave possible is compared on the n-grams themselves."""
     import pyarrow as pa
 
+    def prune(batches):
+        for batch in batches:
+            x, y, m, n_ = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [wide_apart(a, b) * (den + num) <= (i + j) * (den - num) for a, b, i, j in zip(x, y, m, n_, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c, w, s: reps.select(F.col("node").alias(c), F.col("wide").alias(w), F.col("size").alias(s))
+    wide = pairs.join(of("a", "_x", "_m"), "a").join(of("b", "_y", "_n"), "b").select("a", "b", "_x", "_y", "_m", "_n")
+    pairs = materialize(wide.mapInArrow(prune, "a long, b long").distinct(), "pruned")
+    reps = reps.select("node", "doc_id", "th")
     wanted = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(reps, "node"), "wanted")
     ids = wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "node")
     if wanted.count() <= BROADCAST_ROWS:
@@ -238,6 +268,20 @@ def _possible(num: int, den: int):
     return (F.least(x, y) * den >= F.greatest(x, y) * num) & (apart * (den + num) <= (x + y) * (den - num))
 
 
+def _open(entries: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+    """Entries of segments that hold several components, with label, sizes and sketches, the number of members of the segment, and
+    whether the entry is apart from the component of the segment's first hub."""
+    label, same = labels.select("node", "label"), W.partitionBy("sig")
+    rows = (
+        entries.join(label, "node", "left")
+        .join(label.select(F.col("node").alias("hub"), F.col("label").alias("_hl")), "hub", "left")
+        .select("sig", "node", "probe", F.coalesce("label", "node").alias("label"), F.coalesce("_hl", "hub").alias("_hl"))
+        .withColumn("apart", F.col("label") != F.col("_hl"))
+        .select("*", F.max(F.col("apart").cast("int")).over(same).alias("_open"), F.count("*").over(same).alias("members"))
+    )
+    return rows.filter("_open = 1").select("sig", "node", "probe", "label", "apart", "members").join(known, "node")
+
+
 def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c == "sig" else prefix + c) for c in df.columns])
 
@@ -258,10 +302,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rows = materialize(_classes(docs, n), "classes")
     cells = [f"s{k}" for k in range(SKETCH)]
     info = materialize(
-        rows.filter("size > 0").groupBy("key", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("rep"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in cells]),
+        rows.filter("size > 0").groupBy("key", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("rep"), F.first("size").alias("size"), F.first("wide").alias("wide"), *[F.first(c).alias(c) for c in cells]),
         "info",
     )
-    reps, known = info.select("node", "rep.doc_id", "rep.th"), info.select("node", "size", *cells)
+    reps, known = info.select("node", "size", "wide", "rep.doc_id", "rep.th"), info.select("node", "size", *cells)
 
     # index entries of segments that two classes share
     same = W.partitionBy("sig")
@@ -280,31 +324,37 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     links = materialize(_verified(star, reps, docs, n, num, den), "links")
     labels = components(links)
 
-    # then pairs of different components: of a segment, what is not in its hub's component against everything
+    # then pairs of different components only: in large segments first against a few drawn hubs, at last against everything
     by_cost = W.partitionBy("node", "spare").orderBy(F.col("cost").desc(), "sig")
-    label = labels.select("node", "label")
-    placed = (
-        shared.withColumn("probe", F.row_number().over(by_cost) > F.col("spare"))
-        .join(label, "node", "left")
-        .join(label.select(F.col("node").alias("hub"), F.col("label").alias("_hl")), "hub", "left")
-        .select("sig", "node", "probe", F.coalesce("label", "node").alias("label"), F.coalesce("_hl", "hub").alias("_hl"))
-    )
-    placed = placed.select("*", F.max((F.col("label") != F.col("_hl")).cast("int")).over(same).alias("_open")).filter("_open = 1")
-    placed = materialize(placed.select("sig", "node", "probe", "label", (F.col("label") != F.col("_hl")).alias("apart")).join(known, "node"), "placed")
-    pairs = None
-    for mine, other in (("apart", "true"), ("not apart", "apart")):
-        x, y = _named(placed.filter(f"probe and {mine}"), "x_"), _named(placed.filter(other), "y_")
-        got = x.join(y, "sig").filter((F.col("x_label") != F.col("y_label")) & plausible).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
-        pairs = got if pairs is None else pairs.unionAll(got)
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(_verified(pairs, reps, docs, n, num, den), "links")
-    if not more.isEmpty():
-        labels = components(links.unionAll(more))
+    entries = materialize(shared.withColumn("probe", F.row_number().over(by_cost) > F.col("spare")).select("sig", "node", "probe", "hub"), "entries")
+    done, hubs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), HUBS
+    while True:
+        open_ = materialize(_open(entries, labels, known), "open")
+        largest = open_.agg(F.max("members")).first()[0] or 0
+        last = largest <= 4 * hubs
+        if last:
+            sides = [(open_.filter("probe and apart"), open_), (open_.filter("probe and not apart"), open_.filter("apart"))]
+        else:
+            drawn = W.partitionBy("sig").orderBy(F.xxhash64("node", F.lit(hubs)), "node")
+            sides = [(open_.withColumn("_r", F.row_number().over(drawn)).filter(F.col("_r") <= hubs).drop("_r"), open_)]
+        pairs = None
+        for mine, other in sides:
+            got = _named(mine, "x_").join(_named(other, "y_"), "sig").filter((F.col("x_label") != F.col("y_label")) & plausible)
+            got = got.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+            pairs = got if pairs is None else pairs.unionAll(got)
+        pairs = materialize(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_verified(pairs, reps, docs, n, num, den), "links")
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            labels = components(links)
+        if last:
+            break
+        done, hubs = done.unionAll(pairs), MORE_HUBS * hubs
 
     # back to the rows
     classes = info.select("key", "node", "rep").join(labels, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
-    of = classes.join(classes.groupBy("label").agg(F.min("rep").alias("first")), "label").select("key", "first")
+    first = materialize(classes.groupBy("label").agg(F.min("rep").alias("first")), "first")  # written, so that Spark can split a hot label below
+    of = classes.join(first, "label").select("key", "first")
     found = rows.select("doc_id", "th", "key", "size").join(of, "key", "left")
     keep = F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")))
     return found.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "th", keep.alias("keep"))
