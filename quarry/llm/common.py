@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts can be long, so batches stay far below Spark's default of 10,000 rows.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def tune(spark: SparkSession) -> None:

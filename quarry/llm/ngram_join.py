@@ -36,7 +36,7 @@ from quarry.llm.components import components
 
 GROWTH = 1.5
 SKETCH = 8
-CACHE = 200_000
+CACHE = 80_000
 #: Sets of ids up to this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Drawn hubs of a large segment in the first round after the star; MORE_HUBS times as many in each further round.

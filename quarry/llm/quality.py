@@ -30,7 +30,7 @@ SHARPNESS = 6.0
 BLOCK = 256
 PIECE = 20_000
 THRESHOLD = 0.7
-CACHE = 200_000
+CACHE = 80_000
 
 
 def _hash(text: str, space: int) -> int:

@@ -24,7 +24,7 @@ TERMS = 1 << 16
 FACTORS = 8
 THRESHOLD = 0.3
 STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…–—¡¿·"
-CACHE = 200_000
+CACHE = 80_000
 
 
 class Terms:
