@@ -40,18 +40,19 @@ def _hash(text: str, space: int) -> int:
 def shape(token: str) -> str:
     """Kinds of characters, runs of a kind as one: ``Word!!`` -> ``Aa!``."""
     kind = lambda c: "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-    return "".join(k for k, _ in groupby(map(kind, token[:64])))
+    return "".join(k for k, _ in groupby(map(kind, token)))
 
 
 class Terms:
     """(ids, weights) of a text: three blocks, each of unit length times its share."""
 
     def __init__(self):
-        self.cache: dict[str, tuple[int, int]] = {}
+        self.cache: dict[str, tuple[int, int, int]] = {}
 
-    def _of(self, token: str) -> tuple[int, int]:
+    def _of(self, token: str) -> tuple[int, int, int]:
+        """Term of the word, term of the shape, number of letters."""
         core = token.strip(STRIP).lower()
-        return (_hash(core, WORDS) if core else -1), WORDS + _hash(shape(token), SHAPES)
+        return (_hash(core, WORDS) if core else -1), WORDS + _hash(shape(token), SHAPES), sum(map(str.isalpha, token))
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         text = text or ""
@@ -75,7 +76,7 @@ class Terms:
             parts.append((own, np.log1p(np.bincount(back, times[has], len(own))), share))
         lines = [x for x in text.split("\n") if x.strip()]
         ratios = {
-            "distinct": len(count) / n, "most": times.max() / n, "letters": sum(map(str.isalpha, text[:4000:3])) / max(1, len(text[:4000:3])),
+            "distinct": len(count) / n, "most": times.max() / n, "letters": float(pairs[:, 2] @ times) / len(text),
             "upper": sum(t.isupper() for t in count) / len(count), "lines": len(set(lines)) / max(1, len(lines)), "length": min(1.0, len(text) / n / 20),
         }
         bands = [f"{k}{int(r * 12)}" for k, r in ratios.items()] + [f"{k}~{int(r * 12 + 0.5)}" for k, r in ratios.items()]
