@@ -25,6 +25,10 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements whose content is no text of the page.
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = set("head noscript template svg canvas object audio video select button datalist map".split())
+#: What a head can hold; any other element, or text, ends it, as its end tag is optional.
+HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements of other languages, where ``/>`` closes an element; in HTML's own it means nothing.
+FOREIGN = {"svg", "math"}
 #: Opening one of these ends an open element of the same kind, up to the element that holds them.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 CONTENT_TAGS = {"article", "main"}
@@ -40,6 +44,8 @@ SEQUENCE, PROXIMITY = 0.45, 0.35
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?P<end>>|\Z)|[!?/](?P<junk>[^>]*)(?:>|\Z))""", re.S)
 _LOOSE = re.compile(r"<[a-zA-Z/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: The end of a tag is that of an unquoted value, to which a last slash belongs.
+_VALUE_END = re.compile(r"""=\s*[^\s"'>]+\Z""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -96,6 +102,9 @@ def blocks_of(html: str | None) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal linked
+        if stack[-1].name == "head" and text.strip():
+            flush()
+            stack.pop()
         parts.append(text)
         if links:
             linked += len(text.strip())
@@ -131,6 +140,12 @@ def blocks_of(html: str | None) -> list[Block]:
                         del stack[k:]
                         break
             continue
+        if name not in HEAD and stack[-1].name == "head":
+            flush()
+            stack.pop()
+        if (attrs := m.group("attrs")).endswith("/") and not _VALUE_END.search(attrs) and (name in FOREIGN or any(n.name == "svg" for n in stack)):
+            flush()
+            continue
         if name == "br":
             add(" ")
             continue
