@@ -1,6 +1,6 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. Sparse word 1- to 3-grams feed a softmax regression over licence families and an unknown
+Paragraphs are the lines of a text, and runs of lines between blank ones, as notices are often wrapped. Sparse word 1- to 3-grams feed a softmax regression over licence families and an unknown
 class. It is trained here on the templates below, varied by a seeded generator, and on unrelated paragraphs; a
 temperature fitted on variations that were held back calibrates its probabilities. A prediction counts only when it is
 likely enough and the paragraph holds most of the n-grams of a template of that family.
@@ -45,7 +45,7 @@ OTHERS = [
     "The version of the story that he told was not true.", "The source of the river lies in the mountains.", "We use a new form for all orders and returns.", "Students at MIT built a small robot.", "The Apache helicopter landed at the base.",
     "The commons were open to all creative people of the village.", "The domain of the function is the set of real numbers.", "Read the following conditions before you buy a ticket.", "He wrote a program that sorts numbers.",
 ]
-#: Each template holds one of these, and no confirmed paragraph holds none of them.
+#: Each template holds one of these; they don't decide what is classified.
 ANCHORS = ("licen", "permi", "rights", "gnu", "spdx", "public domain", "cc0", "redistribution", "proprietary")
 _TOKEN = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 
@@ -66,6 +66,32 @@ class Model:
     temperature: float
     templates: dict[str, list[frozenset]]
 
+    def __post_init__(self):
+        """The bound that SIMILARITY sets: fewer than ``least`` shared word pairs rule a template out.
+
+        A paragraph that shares b pairs with a template shares at most all its words, the b pairs, and for each pair the ``fan`` triples
+        that begin with it.
+        """
+        self.pairs: dict[tuple[str, str], list[int]] = {}
+        self.least: list[float] = []
+        for t in (t for group in self.templates.values() for t in group):
+            parts = [tuple(g.split(" ")) for g in t]
+            fan = max(Counter(g[:2] for g in parts if len(g) == 3).values(), default=0)
+            for g in parts:
+                if len(g) == 2:
+                    self.pairs.setdefault(g, []).append(len(self.least))
+            self.least.append((SIMILARITY * len(t) - sum(len(g) == 1 for g in parts)) / (1 + fan) - 1e-9)
+        self.known = frozenset(self.pairs)
+        self.longest = max((sum(" " not in g for g in t) for group in self.templates.values() for t in group), default=0)
+        self.always = any(n <= 0 for n in self.least)
+
+    def possible(self, words: list[str]) -> bool:
+        """False only if no template can be similar enough."""
+        if self.always:
+            return True
+        held = Counter(i for pair in self.known.intersection(zip(words, words[1:])) for i in self.pairs[pair])
+        return any(n >= self.least[i] for i, n in held.items())
+
     def logits(self, counts: Counter) -> np.ndarray:
         ids = [i for t in counts if (i := self.terms.get(t)) is not None]
         return self.bias + (self.weight[ids].sum(0) / np.sqrt(len(ids)) if ids else 0)
@@ -85,16 +111,38 @@ class Model:
 
     def scan(self, text: str | None) -> list[tuple[int, str, float, float]]:
         """(paragraph number, family, probability, similarity) of every confirmed paragraph."""
-        low = (text or "").lower()
-        if not any(a in low for a in ANCHORS):
-            return []
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            low = line.lower()
-            if any(a in low for a in ANCHORS):
-                family, p, like = self.classify(line)
-                if family != UNKNOWN:
-                    out.append((k, family, p, like))
+        out, block = [], []
+        for k, line in enumerate([*(text or "").split("\n"), ""]):
+            if line.strip():
+                block.append((k, line, _TOKEN.findall(line.lower())))
+            elif block:
+                if self.possible([w for _, _, words in block for w in words]):
+                    out += self._block(block)
+                block = []
+        return out
+
+    def _block(self, block: list[tuple[int, str, list[str]]]) -> list[tuple[int, str, float, float]]:
+        """Lines that are notices, and between them the shortest runs of lines that are one; a run begins at its first line's number."""
+        own = []
+        for k, line, words in block:
+            family, p, like = self.classify(line) if self.possible(words) else (UNKNOWN, 0.0, 0.0)
+            own.append((k, family, p, like) if family != UNKNOWN else None)
+        out, i = [], 0
+        while i < len(block):
+            if own[i]:
+                out.append(own[i])
+                i += 1
+                continue
+            words, inner, j, hit = list(block[i][2]), 0, i + 1, None
+            while j < len(block) and not own[j] and not hit and inner <= self.longest:  # more words between its ends than a template has: no wrapped notice
+                words += block[j][2]
+                if self.possible(words):
+                    family, p, like = self.classify(" ".join(line for _, line, _ in block[i : j + 1]))
+                    hit = (block[i][0], family, p, like) if family != UNKNOWN else None
+                inner += len(block[j][2])
+                j += 1
+            out += [hit] if hit else []
+            i = j if hit else i + 1
         return out
 
 
@@ -148,7 +196,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row for each row of ``docs``: doc_id, n_paragraphs, families (sorted, distinct), licence and notices.
 
     notices lists paragraph number (from 0), family, probability and similarity. licence is the family most often found, the
-    first in order on ties; 'unknown' without any. A null or empty text has no paragraphs. Repeated rows give
+    first in order on ties; 'unknown' without any. A notice over several lines has the number of its first line. A null or empty text has no paragraphs. Repeated rows give
     repeated rows, an empty table an empty result. Whole texts are read. Only the named columns are read.
     """
     import pyarrow as pa
