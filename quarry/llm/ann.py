@@ -128,8 +128,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     # equal vectors are one entry with their k + 1 smallest ids: a query that is one of them needs k others
     first = W.partitionBy("embedding").orderBy("vec_id")
     entries = (
-        rows.select("vec_id", "embedding").withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= 2 * k + 2)
-        .groupBy("embedding").agg(F.slice(F.sort_array(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
+        rows.select("vec_id", "embedding").distinct().withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1)
+        .groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     )
 
     def index(batches):
