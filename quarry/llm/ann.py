@@ -3,7 +3,8 @@
 Vectors are brought to unit length, where the largest cosine is the least distance. Each table hashes a vector with HASHES
 Gaussian (2-stable) projections cut into cells of width WIDTH. A query visits the perturbed buckets of each table in the
 order of their estimated chance to hold a neighbour, until the visited ones hold it with probability COVER. The chance of a cell
-is that of a normal step with the scale of the distance to a k-th neighbour, which a bounded sample gives. Buckets are dealt
+is that of a normal step with the scale of the distance to a k-th neighbour, which a bounded sample of the entries gives. Queries whose own
+k-th hit is farther than that probe again, with the distance of that hit as their scale. Buckets are dealt
 to groups; each group reranks the merged candidates of a query exactly and hands on its k best. A bucket with more than
 BUCKET vectors is split over several groups, all of which its queries visit, so nothing is cut off.
 """
@@ -34,7 +35,6 @@ class Tables:
     """The hash functions: fixed by the seed and the dimension."""
 
     dim: int
-    scale: float
     seed: int = 17
 
     def __post_init__(self):
@@ -51,12 +51,12 @@ class Tables:
         with np.errstate(over="ignore"):
             return (cells.astype(np.int64) * self.mix).sum(-1)
 
-    def probes(self, place: np.ndarray) -> list[tuple[int, ...]]:
+    def probes(self, place: np.ndarray, scale: float) -> list[tuple[int, ...]]:
         """Cells of one table in falling order of their chance, until COVER is reached; ``place`` has one value a hash."""
         cells, chance = [], []
         for z in place:
             near = np.arange(-SPAN, SPAN + 1) + math.floor(z)
-            p = np.array([_normal((c + 1 - z) * WIDTH / self.scale) - _normal((c - z) * WIDTH / self.scale) for c in near])
+            p = np.array([_normal((c + 1 - z) * WIDTH / scale) - _normal((c - z) * WIDTH / scale) for c in near])
             by = np.argsort(-p, kind="stable")
             cells.append(near[by].tolist())
             chance.append(np.log(np.maximum(p[by], 1e-300)).tolist())
@@ -92,15 +92,17 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _scale(vectors: DataFrame, k: int) -> tuple[int, float]:
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column(0).to_pylist()
-    if not rows:
-        return 0, 1.0
-    sizes = [len(r) for r in rows]
-    dim = max(sorted(set(sizes)), key=sizes.count)
-    unit = _unit(np.array([r for r in rows if len(r) == dim], np.float64))
+def _dimension(vectors: DataFrame) -> int:
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select(F.size("embedding").alias("n")).toArrow().column(0).to_pylist()
+    return max(sorted(set(rows)), key=rows.count) if rows else 0
+
+
+def _scale(entries: DataFrame, k: int) -> float:
+    """Median distance to the k-th neighbour among sampled entries, so that copies don't count."""
+    rows = entries.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(SAMPLE).select("embedding").toArrow().column(0).to_pylist()
+    unit = _unit(np.array(rows, np.float64))
     near = np.sort(-(unit[:200] @ unit.T), axis=1)[:, : k + 1]
-    return dim, float(np.median(np.sqrt(np.maximum(2 + 2 * near[:, -1], 1e-4))))
+    return float(np.median(np.sqrt(np.maximum(2 + 2 * near[:, -1], 1e-4))))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -118,12 +120,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("_q"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    dim, scale = _scale(rows, k)
+    dim = _dimension(rows)
     schema = "query_id long, rank int, vec_id long, score double"
     if not dim:
         return spark.createDataFrame([], schema)
     rows = rows.filter(F.size("embedding") == dim)
-    tables = Tables(dim, scale)
+    tables = Tables(dim)
 
     # equal vectors are one entry with their k + 1 smallest ids: a query that is one of them needs k others
     first = W.partitionBy("embedding").orderBy("vec_id")
@@ -131,6 +133,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         rows.select("vec_id", "embedding").distinct().withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1)
         .groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     )
+    entries = materialize(entries, "entries")
+    scale = _scale(entries, k)
 
     def index(batches):
         for batch in batches:
@@ -143,10 +147,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     def probe(batches):
         for batch in batches:
             places = tables.places(_unit(_matrix(batch.column(1), dim)))
-            tab, bucket, row = [], [], []
+            scales, tab, bucket, row = batch.column(2).to_pylist(), [], [], []
             for t in range(TABLES):
                 for i in range(batch.num_rows):
-                    keys = tables.key(np.array(tables.probes(places[t, i])))
+                    keys = tables.key(np.array(tables.probes(places[t, i], scales[i])))
                     tab.append(np.full(len(keys), t, np.int32))
                     bucket.append(keys)
                     row.append(np.full(len(keys), i))
@@ -163,13 +167,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     parts = F.coalesce("_parts", F.lit(1))
     stored = indexed.join(heavy, ["tab", "bucket"], "left").withColumn("_part", F.pmod(F.xxhash64("embedding"), parts).cast("int")).select(group(F.col("_part")), "tab", "bucket", "embedding", "ids")
     asked = rows.filter("_q").dropDuplicates(["vec_id"]).select("vec_id", "embedding")
-    visits = (
-        asked.mapInArrow(probe, "tab int, bucket long, query_id long")
-        .join(heavy, ["tab", "bucket"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select(group(F.col("_part")), "query_id", F.struct("tab", "bucket").alias("b"))
-        .groupBy("_g", "query_id").agg(F.collect_list("b").alias("visits"))
-        .join(asked.withColumnRenamed("vec_id", "query_id"), "query_id")
-    )
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
@@ -196,8 +193,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 out_s += [-s for s, _ in near]
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
-    found = stored.groupBy("_g").cogroup(visits.groupBy("_g")).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    found = materialize(_best(found, k), "found")
+    def search(scaled: DataFrame) -> DataFrame:
+        """The k best that the probes of (vec_id, embedding, scale) meet."""
+        visits = (
+            scaled.mapInArrow(probe, "tab int, bucket long, query_id long")
+            .join(heavy, ["tab", "bucket"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+            .select(group(F.col("_part")), "query_id", F.struct("tab", "bucket").alias("b"))
+            .groupBy("_g", "query_id").agg(F.collect_list("b").alias("visits"))
+            .join(scaled.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+        )
+        found = stored.groupBy("_g").cogroup(visits.groupBy("_g")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+        return materialize(_best(found, k), "found")
+
+    found = search(asked.withColumn("scale", F.lit(scale)))
+    # a k-th hit beyond the scale: its distance bounds that of the k-th neighbour, so it is the query's own scale
+    reach = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.sqrt(F.greatest(2 - 2 * F.min("score"), F.lit(0.0))).alias("scale"))
+    far = asked.join(reach.filter((F.col("n") >= k) & (F.col("scale") > scale)), "vec_id").select("vec_id", "embedding", "scale")
+    found = materialize(_best(found.unionByName(search(far)), k), "found")
     count = found.groupBy("query_id").count()
     short = asked.join(count.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").filter(F.coalesce("count", F.lit(0)) < k).select("vec_id", "embedding")
     blocks = -(-short.count() // QUERY_BLOCK)
