@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import sliced
+
 #: Pre-tokens kept with their ids in each Python worker; the cache is emptied when full.
 CACHE = 200_000
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -145,7 +147,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [codec.encode(t) if t else "" for t in batch.column(1).to_pylist()]
             if digest:
                 yield pa.RecordBatch.from_arrays(

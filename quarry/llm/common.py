@@ -2,35 +2,64 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts can be long, so batches stay far below Spark's default of 10,000 rows.
+if TYPE_CHECKING:
+    import pyarrow as pa
+
+#: Rows that a Python worker takes up at a time. Texts can be long; Spark bounds the bytes of its own Arrow batches.
 ARROW_ROWS = 500
 
 
-def tune(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: small Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that Python objects of few rows live at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine (tests) gets a temporary folder; on a cluster that is an error, as executors wouldn't
+    see each other's files.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
     return base
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it: cuts lineage, survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it: cuts lineage, survives lost executors.
+
+    Tables of a session lie in the folder quarry/<application id>, which can be deleted after it; ``release`` deletes one earlier.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

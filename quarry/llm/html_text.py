@@ -17,6 +17,8 @@ from html import unescape
 import numpy as np
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import sliced
+
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -352,7 +354,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     w = weights()
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [main_text(h, w) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]

@@ -16,6 +16,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import sliced
+
 UNKNOWN = "unknown"
 PROBABILITY, SIMILARITY = 0.5, 0.6
 
@@ -205,7 +207,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches):
         notice = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())])
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             found = [model.scan(t) for t in texts]
             main = [min(Counter(f for _, f, _, _ in x).items(), key=lambda i: (-i[1], i[0]))[0] if x else UNKNOWN for x in found]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm.common import materialize
+from quarry.llm.common import materialize, sliced
 from quarry.llm.components import components
 
 GROWTH = 1.5
@@ -181,7 +181,7 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         hasher = Hasher(n)
-        for batch in batches:
+        for batch in sliced(batches):
             keys, sizes, wide, sketches = [], [], [], []
             for t in batch.column(2).to_pylist():
                 h = hasher(t)
@@ -206,7 +206,7 @@ def _index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def run(batches):
         hasher, seen = Hasher(n), set()
-        for batch in batches:
+        for batch in sliced(batches):
             sigs, nodes, spares = [], [], []
             for t in batch.column(0).to_pylist():
                 h = hasher(t)
@@ -231,7 +231,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: i
     import pyarrow as pa
 
     def prune(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x, y, m, n_ = (batch.column(k).to_pylist() for k in range(2, 6))
             keep = [wide_apart(a, b) * (den + num) <= (i + j) * (den - num) for a, b, i, j in zip(x, y, m, n_, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -248,7 +248,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: i
     texts = materialize(texts, "texts")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = shingles(s, n), shingles(t, n)

@@ -4,11 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.llm import ann
-from quarry.llm.common import tune
 
 
 def test_repeated_rows_of_one_vector(spark):
-    tune(spark)
     rows = [(i, [1.0] * 8) for i in range(1, 11) for _ in range(3)] + [(11, [1.0] * 8)] * 12 + [(100 + i, [1.0] * 7 + [-0.1 * i]) for i in range(9)]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 10, 5).collect()
     assert [(r.vec_id, round(r.score, 9)) for r in sorted(got, key=lambda r: r["rank"])] == [(i, 1.0) for i in range(1, 6)]
@@ -16,7 +14,6 @@ def test_repeated_rows_of_one_vector(spark):
 
 def test_recall_beside_many_copies(spark):
     """Three of five rows are copies of few vectors; the others are clustered around centres."""
-    tune(spark)
     rng = np.random.default_rng(6)
     copies = np.repeat(rng.normal(size=(30, 64)), 100, axis=0)
     others = np.repeat(rng.normal(size=(200, 64)), 10, axis=0) + 0.7 * rng.normal(size=(2000, 64))

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import ann, bpe, gif, html_text, licences, mixing, ngram_join, quality, sharding, toxicity
-from quarry.llm.common import tune
 
 LONG = "word and other words are here " * 20_000
 ROWS = [
@@ -22,7 +21,6 @@ LABELS = [(i, i % 2, (i + 1) % 2) for i in range(1, 9)]
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    tune(spark)
     df = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
     return df.select("*", *[F.lit("clash").alias(c) for c in CLASH])
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import bpe, ngram_join, quality, toxicity
-from quarry.llm.common import tune
 
 DIR = "/root/testdata/sf0.001"
 ROWS = [(1, "a b c d e f g", "en", "s1", 13), (1, "a b c d e f g", "en", "s1", 13), (2, "", None, "s1", 0), (3, None, None, None, None), (None, "x y", "en", "s2", 3), (4, "word " * 30_000, "en", None, 150_000)]
@@ -36,7 +35,6 @@ def test_stages_are_the_operators_in_order():
 
 @pytest.mark.parametrize(("stage", "module", "label", "keep"), [(corpus_pipeline.drop_toxic, toxicity, "toxic", 0), (corpus_pipeline.keep_good, quality, "quality", 1)])
 def test_filters_follow_the_scores(spark, stage, module, label, keep):
-    tune(spark)
     docs, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
     want = {r.doc_id for r in module.score(docs, module.train(docs, labels, label)).collect() if r.predicted == keep}
     assert {r.doc_id for r in stage(spark, docs, DIR).select("doc_id").collect()} == want
