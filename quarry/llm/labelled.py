@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out
+from quarry.llm.common import held_out, sliced
 
 
 def labelled_sample(
@@ -15,7 +15,7 @@ def labelled_sample(
     """(text, y): at most ``bounds[y]`` documents of each label y, chosen by a seeded hash of the id.
 
     Held-out rows never enter. Labels other than the keys of ``bounds``, null labels and ids with contradicting labels are
-    left out; an id that is repeated in the labels counts once.
+    left out; an id that is repeated in the labels or the documents counts once, with the least of its texts.
     """
     one = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
@@ -27,7 +27,8 @@ def labelled_sample(
     for p in parts[1:]:
         chosen = chosen.unionAll(p)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "_id").select("text", F.col("y").cast("int").alias("y"))  # bounded: sum of bounds
+    found = texts.join(F.broadcast(chosen), "_id")  # bounded: sum of bounds
+    return found.groupBy("_id").agg(F.min("text").alias("text"), F.first("y").cast("int").alias("y")).select("text", "y")
 
 
 def score_rows(docs: DataFrame, scorer, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,7 +36,7 @@ def score_rows(docs: DataFrame, scorer, threshold: float, id_col: str = "doc_id"
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             scores = scorer(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
