@@ -16,6 +16,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import sliced
+
 from quarry.llm.labelled import labelled_sample, score_rows
 from quarry.llm.toxicity import STRIP
 
@@ -122,6 +124,11 @@ class Voters:
             vote = np.maximum(np.take_along_axis(near, top, 1), 0.0).astype(np.float64) ** SHARPNESS
             total = vote.sum(1)
             yes = (vote * self.label[top]).sum(1)
+            last = np.take_along_axis(near, top, 1).min(1)
+            for i in np.flatnonzero((near >= last[:, None]).sum(1) > n):  # ties at the last place all vote
+                tied = np.flatnonzero(near[i] >= last[i])
+                vote = np.maximum(near[i, tied], 0.0).astype(np.float64) ** SHARPNESS
+                total[i], yes[i] = vote.sum(), vote @ self.label[tied]
             scores += np.where(total > 0, yes / np.where(total > 0, total, 1), self.prior).clip(0, 1).tolist()
         return scores
 
@@ -168,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
 
     def run(batches):
         terms = Terms()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [terms(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32())), batch.column(1)], names=["ids", "weights", "y"]
@@ -185,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
 def score(docs: DataFrame, voters: Voters, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row, repeated rows too.
 
-    A null or empty text has no vector and gets the share of good labels in the sample. Whole texts are scored,
-    however long. An empty table gives an empty result. Only the named columns are read, so other columns can have any names.
+    A null or empty text has no vector and gets the share of good labels in the sample. Labelled vectors that are as near as the
+    last of the NEIGHBOURS vote too. Whole texts are scored, however long. An empty table gives an empty result. Only the named columns are read, so other columns can have any names.
     """
     return score_rows(docs, voters, threshold, id_col, text_col)
