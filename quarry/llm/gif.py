@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import sliced
+
 #: A payload is cut into frames of SIDE x SIDE samples; GREYS is their palette: 256 levels, one for each byte.
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -261,16 +263,27 @@ def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
+def _room(data: bytes) -> int:
+    """Samples that codes in so many bytes can stand for at most; a few rows of padding for files that are cut off."""
+    return LIMIT * (len(data) * 8 // 3 + 16)
+
+
 def _rows(height: int) -> list[int]:
     """Order in which an interlaced frame stores its rows."""
     return [*range(0, height, 8), *range(4, height, 8), *range(2, height, 4), *range(1, height, 2)]
 
 
 def read(data: bytes) -> Gif:
-    """Parse a file. A file that is cut off gives the frames before the cut; what is no GIF raises ValueError."""
+    """Parse a file. A file that is cut off gives the frames before the cut; what is no GIF raises ValueError.
+
+    So does a file whose screen or frames have more samples than codes of its length can stand for (a code has 3 bits at
+    least and repeats fewer than LIMIT samples), so memory is bounded by the bytes that are there and not by what they claim.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, back = struct.unpack_from("<HHBB", data, 6)
+    if width * height > _room(data):
+        raise ValueError("the screen is larger than the file can fill")
     at, palette = 13, GREYS
     if flags & 0x80:
         palette = data[at : at + (3 << (flags & 7) + 1)]
@@ -296,6 +309,8 @@ def read(data: bytes) -> Gif:
                 break
             bits = data[at]
             stream, at = _sub_blocks(data, at + 1)
+            if w * h > _room(stream):
+                raise ValueError("a frame is larger than its codes can fill")
             found.append((stream if 1 <= bits <= 8 else b"", min(max(bits, 1), 8), bool(flags & 0x40)))
             gif.frames.append(Frame(left, top, w, h, b"", own, delay, disposal, transparent))
             delay, disposal, transparent = 0, 0, None
@@ -363,7 +378,9 @@ def feature_of(gif: Gif) -> str:
 
 
 DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-FRAMES = "width int, height int, frames array<struct<delay: int, rgba: binary, histogram: array<long>>>"
+FRAMES = "frame int, width int, height int, delay int, rgba binary, histogram array<long>"
+#: Pixel bytes that a worker gathers before it hands frames on.
+HANDED = 1 << 24
 
 
 def digest(text: str | None) -> tuple:
@@ -383,7 +400,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [digest(t) for t in batch.column(1).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -395,27 +412,45 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def decode_column(media: DataFrame, id_col: str = "id", gif_col: str = "media") -> DataFrame:
-    """Decode a binary column of GIF files: id, width, height and the timed frames with their pixels and histograms.
+    """Decode a binary column of GIF files into timed frames, a row each: id and the columns of FRAMES.
 
-    Null bytes and bytes that are no GIF give a row with null columns; a file that is cut off gives the frames before the cut.
+    frame counts from 0, delay is in hundredths of a second, rgba is the canvas as it shows at the frame (width x height x 4 bytes),
+    histogram its pixels in 64 colours. Null bytes, bytes that are no GIF, files that claim more samples than they can hold, and files
+    without a frame give one row with null columns after the id; a file that is cut off gives the frames before the cut. Repeated rows give
+    repeated rows, an empty table an empty result. Frames are handed on as they are composed, so a long file doesn't fill
+    the memory. Only the named columns are read, so other columns can have any names.
     """
     import pyarrow as pa
 
-    def one(data: bytes | None) -> tuple:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    names = [c.split()[0] for c in FRAMES.split(", ")]
+
+    def frames(data: bytes | None) -> Iterator[tuple]:
         try:
             gif = read(data or b"")
         except ValueError:
-            return None, None, None
-        return gif.width, gif.height, [{"delay": f.delay, "rgba": c.tobytes(), "histogram": histogram(c).tolist()} for f, c in zip(gif.frames, compose(gif), strict=True)]
+            gif = Gif(0, 0)
+        for k, (f, c) in enumerate(zip(gif.frames, compose(gif), strict=True)):
+            yield k, gif.width, gif.height, f.delay, c.tobytes(), histogram(c).tolist()
+        if not gif.frames:
+            yield (None,) * 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame = pa.struct([("delay", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64()))])
-        for batch in batches:
-            rows = [one(m) for m in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(frame))],
-                names=["id", "width", "height", "frames"],
-            )
+        def handed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["id", *names])
+
+        for batch in sliced(batches):
+            of, rows, held = [], [], 0
+            for i, data in enumerate(batch.column(1)):
+                for row in frames(data.as_py()):
+                    of.append(i)
+                    rows.append(row)
+                    held += len(row[4] or b"")
+                    if held > HANDED:
+                        yield handed()
+                        of, rows, held = [], [], 0
+            if rows:
+                yield handed()
 
     rows = media.selectExpr(f"`{id_col}` AS id", f"`{gif_col}` AS media")
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, {FRAMES}")
