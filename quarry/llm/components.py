@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
             up = least.select(F.col("a").alias("p"), F.col("p").alias("q"))
             parent = parent.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
         move = lambda df, c: df.join(parent.select(F.col("a").alias(c), "p"), c, "left").withColumn(c, F.coalesce("p", c)).drop("p")  # noqa: B023, E731
+        old_labels, old_edges = labels, edges
         labels = materialize(move(labels, "label").select("node", "label"), "labels")
         edges = materialize(move(move(edges, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        release(old_labels, old_edges, least)
+    release(edges)
     return labels

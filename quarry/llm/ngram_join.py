@@ -15,8 +15,13 @@ most H must agree in some segment if one of them fills more than H segments, so
   lies in different components after that is compared pair by pair, so groups of near copies don't cost all pairs. Parity sketches bound the difference from below and
   drop pairs that can't link. The rest is verified on the n-grams themselves.
 
-64-bit hashes stand for n-grams in the candidate search and 128 bits for the set of a class. A collision can add
-candidates, which verification removes.
+* Hot segments: a task that meets a signature more than SPLIT times spreads the rest over PARTS parts, so that no window holds a
+  segment that a third of the rows share; what the parts know is merged by partial aggregation.
+
+64-bit hashes stand for n-grams in the candidate search, where a collision adds candidates that verification removes, and in
+the size of a set, where one would count two n-grams of one document as one (for 1000 n-grams a chance of 3 in 10^14). A class is
+known by 128 bits of its hashes. Nodes of the graph are 63 of these bits; classes that clash in them (about n^2 / 2^64 of n
+classes) are found and get numbers of their own, so that a node always is one class.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm.common import materialize, sliced
+from quarry.llm.common import ARROW_ROWS, materialize, release, sliced
 from quarry.llm.components import components
 
 GROWTH = 1.5
@@ -41,6 +46,10 @@ CACHE = 80_000
 BROADCAST_ROWS = 1_000_000
 #: Drawn hubs of a large segment in the first round after the star; MORE_HUBS times as many in each further round.
 HUBS, MORE_HUBS = 16, 64
+#: A signature that a task has met so often is split from then on, into so many parts; COUNTERS count signatures by their low bits.
+SPLIT, PARTS, COUNTERS = 64, 1024, 1 << 18
+#: Bits of a class that name its node.
+NODE_BITS = 63
 _MIX1, _MIX2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _33 = np.uint64(33)
 
@@ -175,6 +184,15 @@ def wide_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _key(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def _node(key: bytes, moved: dict[bytes, int]) -> int:
+    """The number of a class: not negative, but for those in ``moved``."""
+    return moved[key] if key in moved else int.from_bytes(key[:8], "big") >> (64 - NODE_BITS)
+
+
 def _classes(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, th, key, node, size, wide, s0...): the set of every row. key: 128 bits of the set, null for an empty one."""
     import pyarrow as pa
@@ -185,14 +203,13 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
             keys, sizes, wide, sketches = [], [], [], []
             for t in batch.column(2).to_pylist():
                 h = hasher(t)
-                keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                keys.append(_key(h) if len(h) else None)
                 sizes.append(len(h))
                 wide.append(wide_sketch(h) if len(h) else None)
                 sketches.append(sketch(h))
             cells = np.array(sketches, np.int64).reshape(-1, SKETCH)
-            nodes = [int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()), *(pa.array(cells[:, k]) for k in range(SKETCH))],
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([_node(k, {}) if k else None for k in keys], pa.int64()), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()), *(pa.array(cells[:, k]) for k in range(SKETCH))],
                 names=["doc_id", "th", "key", "node", "size", "wide", *(f"s{k}" for k in range(SKETCH))],
             )
 
@@ -200,65 +217,116 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, th long, key binary, node long, size long, wide binary, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
 
 
-def _index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(sig, node, spare) of every row's set. Copies that one task meets are entered once, before any shuffle."""
+def _numbered(info: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
+    """``info`` with a node of its own for each class, and the classes whose node isn't that of their bits."""
+    clash = info.groupBy("node").agg(F.count("*").alias("_n")).filter("_n > 1").select("node")
+    keys = sorted(bytes(r.key) for r in info.join(clash, "node", "left_semi").select("key").collect())  # bounded: clashes of 63 bits
+    moved = {k: -1 - i for i, k in enumerate(keys)}
+    if moved:
+        own = info.sparkSession.createDataFrame([(bytearray(k), v) for k, v in moved.items()], "key binary, _own long")
+        info = info.join(F.broadcast(own), "key", "left").withColumn("node", F.coalesce("_own", "node")).drop("_own")
+    return info, moved
+
+
+def _index(docs: DataFrame, n: int, num: int, den: int, moved: dict[bytes, int]) -> DataFrame:
+    """(sig, node, spare, part) of every row's set. Copies that one task meets are entered once, before any shuffle.
+
+    part is 0 until the task has met a signature in SPLIT different sets, then one of PARTS; so part 0 of a split segment always holds
+    several classes.
+    """
     import pyarrow as pa
 
     def run(batches):
-        hasher, seen = Hasher(n), set()
+        hasher, seen, met = Hasher(n), set(), np.zeros(COUNTERS, np.int32)
         for batch in sliced(batches):
-            sigs, nodes, spares = [], [], []
+            sigs, nodes, spares, parts = [], [], [], []
             for t in batch.column(0).to_pylist():
                 h = hasher(t)
-                node = int.from_bytes(xxhash.xxh3_128_digest(h.tobytes())[:8], "little", signed=True)
+                node = _node(_key(h), moved)
                 if node in seen:
                     continue
                 if len(seen) > CACHE:
                     seen.clear()
+                    met[:] = 0
                 seen.add(node)
                 sig, spare = signatures(h, num, den)
+                place = sig & (COUNTERS - 1)
+                hot = met[place] >= SPLIT
+                np.add.at(met, place, 1)
                 sigs.append(sig)
                 nodes.append(np.full(len(sig), node, np.int64))
                 spares.append(spare)
+                parts.append(np.where(hot, 1 + node % PARTS, 0).astype(np.int32))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, spares)], names=["sig", "node", "spare"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, spares, parts)], names=["sig", "node", "spare", "part"])
+
+    return docs.select("text").mapInArrow(run, "sig long, node long, spare int, part int")
+
 
-    return docs.select("text").mapInArrow(run, "sig long, node long, spare int")
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast a table that is already written if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _shared(index: DataFrame) -> DataFrame:
+    """(sig, node, spare, hub, cost) of the segments that two classes share; hub is the least node, cost the number of entries."""
+    same = W.partitionBy("sig", "part")
+    rows = (
+        index.select("*", F.min("node").over(same).alias("hub"), F.max("node").over(same).alias("_hi"), F.count("*").over(same).alias("cost"))
+        .filter("hub <> _hi or part > 0")
+    )
+    rows = materialize(rows.drop("_hi").dropDuplicates(["sig", "part", "node"]), "shared")
+    split = materialize(rows.filter("part > 0").select("sig").distinct(), "split")
+    if split.isEmpty():
+        out = rows.drop("part")
+        out.written = rows.written
+        return out
+    parts = rows.join(_few(split), "sig", "left_semi").groupBy("sig", "part").agg(F.min("hub").alias("hub"), F.min("cost").alias("cost"))
+    whole = materialize(parts.groupBy("sig").agg(F.min("hub").alias("_hub"), F.sum("cost").alias("_cost")), "whole")
+    joined = rows.join(_few(whole), "sig", "left")
+    return materialize(joined.select("sig", "node", "spare", F.coalesce("_hub", "hub").alias("hub"), F.coalesce("_cost", "cost").alias("cost")).dropDuplicates(["sig", "node"]), "shared")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose n-gram sets link: what wide sketches leave possible is compared on the n-grams themselves."""
+    """The pairs (a, b) whose n-gram sets link, written: what wide sketches leave possible is compared on the n-grams themselves.
+
+    The hub's side is joined last, so its text is sent once to a task and not once a pair, and its n-grams are made once for a run of
+    pairs; Spark splits a hub with very many pairs, as the join is skewed.
+    """
     import pyarrow as pa
 
     def prune(batches):
-        for batch in sliced(batches):
-            x, y, m, n_ = (batch.column(k).to_pylist() for k in range(2, 6))
+        for batch in sliced(batches, 10 * ARROW_ROWS):
+            y, n_, x, m = (batch.column(k).to_pylist() for k in range(2, 6))
             keep = [wide_apart(a, b) * (den + num) <= (i + j) * (den - num) for a, b, i, j in zip(x, y, m, n_, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda c, w, s: reps.select(F.col("node").alias(c), F.col("wide").alias(w), F.col("size").alias(s))
-    wide = pairs.join(of("a", "_x", "_m"), "a").join(of("b", "_y", "_n"), "b").select("a", "b", "_x", "_y", "_m", "_n")
+    wide = pairs.join(of("b", "_y", "_n"), "b").join(of("a", "_x", "_m"), "a").select("a", "b", "_y", "_n", "_x", "_m")
     pairs = materialize(wide.mapInArrow(prune, "a long, b long").distinct(), "pruned")
     reps = reps.select("node", "doc_id", "th")
     wanted = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(reps, "node"), "wanted")
-    ids = wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "node")
-    if wanted.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    ids = _few(wanted).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "node")
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text").dropDuplicates(["node"])
     texts = materialize(texts, "texts")
 
     def run(batches):
+        hub, x = None, set()
         for batch in sliced(batches):
             keep = []
-            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = shingles(s, n), shingles(t, n)
+            for a, t, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if a != hub:
+                    hub, x = a, shingles(s.as_py(), n)
+                y = shingles(t, n)
                 common = len(x & y)
                 keep.append(den * common >= num * (len(x) + len(y) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c, t: texts.select(F.col("node").alias(c), F.col("text").alias(t))
-    joined = pairs.join(side("a", "_s"), "a").join(side("b", "_t"), "b").select("a", "b", "_s", "_t")
-    return joined.mapInArrow(run, "a long, b long")
+    joined = pairs.join(side("b", "_t"), "b").join(side("a", "_s"), "a").select("a", "b", "_t", "_s")
+    out = materialize(joined.mapInArrow(run, "a long, b long"), "links")
+    release(pairs, wanted, texts)
+    return out
 
 
 def _possible(num: int, den: int):
@@ -271,19 +339,29 @@ def _possible(num: int, den: int):
 def _open(entries: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
     """Entries of segments that hold several components, with label, sizes and sketches, the number of members of the segment, and
     whether the entry is apart from the component of the segment's first hub."""
-    label, same = labels.select("node", "label"), W.partitionBy("sig")
+    label = labels.select("node", "label")
     rows = (
         entries.join(label, "node", "left")
         .join(label.select(F.col("node").alias("hub"), F.col("label").alias("_hl")), "hub", "left")
         .select("sig", "node", "probe", F.coalesce("label", "node").alias("label"), F.coalesce("_hl", "hub").alias("_hl"))
-        .withColumn("apart", F.col("label") != F.col("_hl"))
-        .select("*", F.max(F.col("apart").cast("int")).over(same).alias("_open"), F.count("*").over(same).alias("members"))
+        .select("sig", "node", "probe", "label", (F.col("label") != F.col("_hl")).alias("apart"))
     )
-    return rows.filter("_open = 1").select("sig", "node", "probe", "label", "apart", "members").join(known, "node")
+    rows = materialize(rows, "labelled")
+    several = rows.groupBy("sig").agg(F.count("*").alias("members"), F.max("apart").alias("_open")).filter("_open").drop("_open")  # partial counts: a hot segment is one row a task
+    several = materialize(several, "several")
+    out = materialize(rows.join(_few(several), "sig").join(known, "node"), "open")
+    release(rows, several)
+    return out
 
 
 def _named(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(c if c == "sig" else prefix + c) for c in df.columns])
+    return df.select(*[F.col(c).alias(c if c in ("sig", "cell") else prefix + c) for c in df.columns])
+
+
+def _cells(df: DataFrame, num: int, den: int, near: bool) -> DataFrame:
+    """A size cell as part of the join key: sets that link lie in the same cell or in neighbouring ones."""
+    own = F.floor(F.log(F.col("size")) / (1.01 * math.log(max(den / num, 1.0001)))).cast("int")
+    return df.withColumn("cell", F.explode(F.array(own - 1, own, own + 1)) if near else own)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,31 +383,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         rows.filter("size > 0").groupBy("key", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("rep"), F.first("size").alias("size"), F.first("wide").alias("wide"), *[F.first(c).alias(c) for c in cells]),
         "info",
     )
+    info, moved = _numbered(info)
     reps, known = info.select("node", "size", "wide", "rep.doc_id", "rep.th"), info.select("node", "size", *cells)
 
     # index entries of segments that two classes share
-    same = W.partitionBy("sig")
-    shared = (
-        _index(docs, n, num, den)
-        .select("*", F.min("node").over(same).alias("hub"), F.max("node").over(same).alias("_hi"), F.count("*").over(same).alias("cost"))
-        .filter("hub <> _hi")
-    )
-    shared = materialize(shared.drop("_hi").dropDuplicates(["sig", "node"]), "shared")
+    shared = _shared(_index(docs, n, num, den, moved))
 
     # first each entry against the hub of its segment
     star = shared.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     plausible = _possible(num, den)
     star = star.join(_named(known, "x_").withColumnRenamed("x_node", "a"), "a").join(_named(known, "y_").withColumnRenamed("y_node", "b"), "b")
     star = materialize(star.filter(plausible).select("a", "b"), "star")
-    links = materialize(_verified(star, reps, docs, n, num, den), "links")
-    labels = components(links)
+    links = _verified(star, reps, docs, n, num, den)
+    labels, spent = components(links), [star, links]
 
     # then pairs of different components only: in large segments first against a few drawn hubs, at last against everything
     by_cost = W.partitionBy("node", "spare").orderBy(F.col("cost").desc(), "sig")
     entries = materialize(shared.withColumn("probe", F.row_number().over(by_cost) > F.col("spare")).select("sig", "node", "probe", "hub"), "entries")
     done, hubs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), HUBS
     while True:
-        open_ = materialize(_open(entries, labels, known), "open")
+        open_ = _open(entries, labels, known)
         largest = open_.agg(F.max("members")).first()[0] or 0
         last = largest <= 4 * hubs
         if last:
@@ -339,19 +412,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             sides = [(open_.withColumn("_r", F.row_number().over(drawn)).filter(F.col("_r") <= hubs).drop("_r"), open_)]
         pairs = None
         for mine, other in sides:
-            got = _named(mine, "x_").join(_named(other, "y_"), "sig").filter((F.col("x_label") != F.col("y_label")) & plausible)
+            got = _named(_cells(mine, num, den, False), "x_").join(_named(_cells(other, num, den, True), "y_"), ["sig", "cell"]).filter((F.col("x_label") != F.col("y_label")) & plausible)
             got = got.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
             pairs = got if pairs is None else pairs.unionAll(got)
         pairs = materialize(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(_verified(pairs, reps, docs, n, num, den), "links")
+        more = _verified(pairs, reps, docs, n, num, den)
+        release(open_)
+        spent += [pairs, more]
         if not more.isEmpty():
-            links = links.unionAll(more)
+            links, old = links.unionAll(more), labels
             labels = components(links)
+            release(old)
         if last:
             break
         done, hubs = done.unionAll(pairs), MORE_HUBS * hubs
 
     # back to the rows
+    release(shared, entries, *spent)
     classes = info.select("key", "node", "rep").join(labels, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
     first = materialize(classes.groupBy("label").agg(F.min("rep").alias("first")), "first")  # written, so that Spark can split a hot label below
     of = classes.join(first, "label").select("key", "first")

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import ann, bpe, components, gif, html_text, licences, mixing, ngram_join, quality, sharding, toxicity
@@ -312,6 +313,34 @@ def test_decode_column(spark):
 # --- jaccard join -------------------------------------------------------------------------------------------------------
 
 
+def ship(monkeypatch, values):
+    """Set constants of the join in the driver and, as functions carry the module by name, in the workers."""
+    for k, v in values.items():
+        monkeypatch.setattr(ngram_join, k, v)
+    if values:
+        run = DataFrame.mapInArrow
+
+        def patched(self, func, schema, *args, **kw):
+            def with_values(batches):
+                from quarry.llm import ngram_join as there
+
+                for k, v in values.items():
+                    setattr(there, k, v)
+                try:
+                    yield from func(batches)
+                finally:
+                    for k in values:
+                        setattr(there, k, before[k])
+
+            return run(self, with_values, schema, *args, **kw)
+
+        before = dict(ORIGINAL)
+        monkeypatch.setattr(DataFrame, "mapInArrow", patched)
+
+
+ORIGINAL = {k: getattr(ngram_join, k) for k in ("NODE_BITS", "SPLIT", "PARTS", "COUNTERS", "HUBS", "MORE_HUBS", "BROADCAST_ROWS", "CACHE")}
+
+
 def varied(rng, n):
     rows = []
     for _ in range(n):
@@ -324,8 +353,10 @@ def varied(rng, n):
     return rows
 
 
-@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80), (2, 60)])
-def test_join_equals_brute_force(spark, n, num):
+@pytest.mark.parametrize(("n", "num", "forced"), [(3, 90, {}), (5, 80, {}), (2, 60, {}), (3, 90, {"NODE_BITS": 5}), (5, 80, {"SPLIT": 1, "PARTS": 3, "COUNTERS": 64, "HUBS": 2, "MORE_HUBS": 2, "BROADCAST_ROWS": 0, "CACHE": 50})])
+def test_join_equals_brute_force(spark, monkeypatch, n, num, forced):
+    """Also where classes clash in the bits of their nodes, and where most segments are split and joined by shuffles."""
+    ship(monkeypatch, forced)
     rows = varied(random.Random(num), 250)
     shared = " ".join(str(i) for i in range(9000, 9060))
     rows += [(10_000 + i, f"{shared} {i} {i + 1} {i + 2} {i % 3}") for i in range(60)]
