@@ -3,14 +3,14 @@
 A page becomes a row of text blocks. A logistic classifier gives each block the cost of either label: these are the capacities to
 the two terminals. Edges between blocks that follow each other and between blocks that are near in the tree make different labels
 of neighbours costly. The maximum flow separates content from boilerplate; what stays on the content side is the text.
-The classifier is fitted on small generated pages of known labels, so no hand-set weights are involved.
+The classifier is fitted on generated pages of known labels, half of them without any class or id, so no hand-set weights are involved.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
-from dataclasses import dataclass, field
+from collections import Counter, deque
+from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
 
@@ -56,9 +56,20 @@ class Node:
     name: str
     depth: int
     parent: Node | None
-    good: bool
-    bad: bool
     hidden: bool
+    good_at: int | None = None
+    bad_at: int | None = None
+    in_list: bool = False
+    in_cell: bool = False
+    chars: int = 0
+    linked: int = 0
+
+    def below(self, name: str, good: bool, bad: bool, hidden: bool) -> Node:
+        """A child. What its ancestors say is kept with it: depth of the first element that speaks for content and of the last that speaks against it."""
+        depth = self.depth + 1
+        good_at = depth if self.good_at is None and good else self.good_at
+        bad_at = depth if bad and not (name == "header" and good_at is not None) else self.bad_at
+        return Node(name, depth, self, hidden or self.hidden, good_at, bad_at, self.in_list or name == "li", self.in_cell or name in ("td", "th"))
 
 
 @dataclass(slots=True)
@@ -67,7 +78,7 @@ class Block:
     node: Node
     words: int
     link_share: float
-    parts: list = field(default_factory=list)
+    page: Node
 
 
 @lru_cache(4096)
@@ -88,8 +99,13 @@ def _cues(attrs: str) -> tuple[bool, bool, bool]:
 def blocks_of(html: str | None) -> list[Block]:
     """The non-empty text blocks in page order. Inline tags and line breaks don't end a block; a break is white space."""
     html = html or ""
-    root = Node("html", 0, None, False, False, False)
-    stack, out, parts, links, linked = [root], [], [], 0, 0
+    root = Node("html", 0, None, False)
+    stack, out, parts, links, linked, nodes, open_ = [root], [], [], 0, 0, [root], Counter()
+
+    def close(k: int) -> None:
+        """End the open elements from place k on."""
+        open_.subtract(n.name for n in stack[k:])
+        del stack[k:]
 
     def flush() -> None:
         nonlocal linked
@@ -99,14 +115,16 @@ def blocks_of(html: str | None) -> list[Block]:
             text = " ".join((unescape(text) if "&" in text else text).split())
             if text and not stack[-1].hidden:
                 holder = next(n for n in reversed(stack) if n.name in BLOCKS)
-                out.append(Block(text, holder, text.count(" ") + 1, min(1.0, linked / len(text))))
+                holder.chars += len(text)
+                holder.linked += min(linked, len(text))
+                out.append(Block(text, holder, text.count(" ") + 1, min(1.0, linked / len(text)), root))
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
         if stack[-1].name == "head" and text.strip():
             flush()
-            stack.pop()
+            close(len(stack) - 1)
         parts.append(text)
         if links:
             linked += len(text.strip())
@@ -137,25 +155,25 @@ def blocks_of(html: str | None) -> list[Block]:
                 links = max(0, links - 1)
             if name in BLOCKS or name in HIDDEN:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if open_[name] > 0 else ():
                     if stack[k].name == name:
-                        del stack[k:]
+                        close(k)
                         break
             continue
         if name not in HEAD and stack[-1].name == "head":
             flush()
-            stack.pop()
-        if (attrs := m.group("attrs")).endswith("/") and not _VALUE_END.search(attrs) and (name in FOREIGN or any(n.name == "svg" for n in stack)):
+            close(len(stack) - 1)
+        if (attrs := m.group("attrs")).endswith("/") and not _VALUE_END.search(attrs) and (name in FOREIGN or open_["svg"] > 0):
             flush()
             continue
         if name == "br":
             add(" ")
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
-            if close is None:
+            last = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
+            if last is None:
                 break
-            at = html.find(">", close.start())
+            at = html.find(">", last.start())
             at = end if at < 0 else at + 1
             continue
         if name == "a":
@@ -165,85 +183,96 @@ def blocks_of(html: str | None) -> list[Block]:
             if name in BLOCKS:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k].name in BLOCKS:
                         break
                 if name in ENDS:
                     same, bound = ENDS[name]
-                    for k in range(len(stack) - 1, 0, -1):
+                    for k in range(len(stack) - 1, 0, -1) if any(open_[x] > 0 for x in same) else ():
                         if stack[k].name in bound:
                             break
                         if stack[k].name in same:
-                            del stack[k:]
+                            close(k)
                             break
             if name not in VOID:
                 good, bad, hidden = _cues(m.group("attrs"))
                 if name in ("body", "html"):
                     good = bad = False
-                up = stack[-1]
-                stack.append(Node(name, up.depth + 1, up, good or name in CONTENT_TAGS and not bad, bad or name in BOILER_TAGS, hidden or up.hidden or name in HIDDEN))
+                stack.append(stack[-1].below(name, good or name in CONTENT_TAGS and not bad, bad or name in BOILER_TAGS, hidden or name in HIDDEN))
+                nodes.append(stack[-1])
+                open_[name] += 1
         elif name in VOID:
             if name != "wbr":
                 add(" ")
     flush()
+    for n in reversed(nodes[1:]):  # children come after their parents
+        n.parent.chars += n.chars
+        n.parent.linked += n.linked
     return out
 
 
 def features(b: Block) -> list[float]:
-    """What the classifier sees of a block: its place in the tree, and the form of its text."""
-    good_at = bad_at = None
-    above, n = [], b.node
-    while n is not None:
-        above.append(n)
-        n = n.parent
-    for k, n in enumerate(reversed(above)):  # from the root down
-        if n.good and good_at is None:
-            good_at = k
-        if n.bad and not (n.name == "header" and good_at is not None):
-            bad_at = k
-    names = {n.name for n in above}
-    last = b.text[-1]
+    """What the classifier sees of a block: its place in the tree, the texts around it, and the form of its own text."""
+    n, up = b.node, b.node.parent or b.node
+    far = up.parent or up
     return [
         1.0,
-        float(good_at is not None),
-        float(bad_at is not None and (good_at is None or bad_at >= good_at)),
-        float(bad_at is not None and good_at is not None and bad_at < good_at),
+        float(n.good_at is not None),
+        float(n.bad_at is not None and (n.good_at is None or n.bad_at >= n.good_at)),
+        float(n.bad_at is not None and n.good_at is not None and n.bad_at < n.good_at),
         b.link_share,
+        up.linked / max(1, up.chars),
+        far.linked / max(1, far.chars),
+        (up.chars - up.linked) / max(1, b.page.chars),
+        (far.chars - far.linked) / max(1, b.page.chars),
         min(1.0, np.log1p(b.words) / 4),
-        float(b.node.name in ("h1", "h2", "h3", "h4", "h5", "h6")),
-        float(b.node.name in ("p", "pre", "blockquote")),
-        float("li" in names),
-        float(bool(names & {"td", "th"})),
-        float(last in ".!?:;\"”»…"),
-        float(good_at is None and ("©" in b.text or "all rights reserved" in b.text.lower())),
+        float(n.name in ("h1", "h2", "h3", "h4", "h5", "h6")),
+        float(n.name in ("p", "pre", "blockquote")),
+        float(n.in_list),
+        float(n.in_cell),
+        float(b.text[-1] in ".!?:;\"”»…"),
+        float(n.good_at is None and ("©" in b.text or "all rights reserved" in b.text.lower())),
         float(b.words < 4),
     ]
 
 
-def _training_pages() -> list[tuple[str, bool]]:
-    """(fragment, is content): every block of the fragment has that label."""
-    rng = np.random.default_rng(4)
-    say = lambda n: " ".join("w" * int(k) for k in rng.integers(2, 9, n))
-    para = lambda: f"<p>{say(int(rng.integers(4, 90)))}{rng.choice(['.', '.', '!', ''])}</p>"
-    inner = lambda: rng.choice(["{p}{p}", "<h2>{s}</h2>{p}", "<h1>{s}</h1>{p}{p}", "<ul><li>{s}.</li><li>{s}</li></ul>{p}", "<blockquote>{s}.</blockquote>", "<table><tr><td>{s}</td><td>{s}</td></tr></table>", "<pre>{s}</pre>", "<p>{s} <a href=x>{t}</a> {s}.</p>", "<h3>{t}</h3>{p}", "<p>{t}</p>"])
-    fill = lambda s: re.sub(r"\{(\w)\}", lambda m: {"p": para(), "s": say(int(rng.integers(5, 20))), "t": say(int(rng.integers(1, 4)))}[m[1]], str(s))
-    link = lambda: f"<li><a href=x>{say(int(rng.integers(1, 4)))}</a></li>"
-    good = ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='content'>{}</div>", "<div id='main-content'><div>{}</div></div>", "<article class='post'><section>{}</section></article>", "<article><header>{}</header></article>", "<div><div>{}</div></div>", "<div class='entry-text'>{}</div>"]
-    bad = ["<div class='ad'>{}</div>", "<aside>{}</aside>", "<footer>{}</footer>", "<header>{}</header>", "<div class='cookie-notice'>{}</div>", "<section id='comments'>{}</section>", "<article><div class='comments'>{}</div></article>", "<article><aside>{}</aside></article>", "<main><div class='related'>{}</div></main>", "<form>{}</form>", "<div class='sidebar'>{}</div>", "<div id='comments'><article>{}</article></div>", "<article><footer>{}</footer></article>", "<div class='newsletter'>{}</div>", "<main><nav>{}</nav></main>", "<div role='banner'>{}</div>"]
+#: Places of a generated page: {} is filled with texts. Half of the pages carry no class or id at all.
+_GOOD = ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<article><section>{}</section><section>{}</section></article>", "<article><header><h1>{t}</h1></header>{}</article>", "<div><div>{}</div></div>", "<div>{}{}</div>", "<table><tr><td>{}</td></tr></table>"]
+_GOOD_NAMED = ["<div class='content'>{}</div>", "<div id='main-content'><div>{}</div></div>", "<article class='post'>{}</article>", "<div class='entry-text'>{}</div>"]
+_BAD = ["<nav><ul>{l}{l}{l}{l}</ul></nav>", "<div><ul>{l}{l}{l}</ul></div>", "<header><h2>{t}</h2></header>", "<aside><p>{s}</p><ul>{l}{l}</ul></aside>", "<footer><p>{s}</p></footer>", "<footer><ul>{l}{l}</ul></footer>", "<form><label>{t}</label><p>{s}</p></form>", "<div>&copy; {t}</div>", "<div><p>{t} all rights reserved.</p></div>", "<div>{a} | {a} | {a}</div>"]
+_BAD_NAMED = ["<div class='ad'>{s}</div>", "<div class='cookie-notice'><p>{s}</p></div>", "<section id='comments'>{}</section>", "<div class='sidebar'>{}</div>", "<div id='comments'><article>{}</article></div>", "<div class='newsletter'><p>{s}</p></div>", "<div role='banner'>{t}</div>", "<div class='menu'><ul>{l}{l}</ul></div>"]
+#: Boilerplate within the content.
+_INNER_BAD = ["<div class='ad'>{s}</div>", "<aside><p>{s}</p></aside>", "<div class='comments'>{}</div>", "<div class='related'><ul>{l}{l}{l}</ul></div>", "<footer><p>{s}</p></footer>", "<nav><ul>{l}{l}</ul></nav>", "<ul>{l}{l}{l}</ul>"]
+_TEXTS = ["{p}{p}", "<h2>{s}</h2>{p}", "<h1>{s}</h1>{p}{p}", "<ul><li>{s}.</li><li>{s}</li></ul>{p}", "<blockquote>{s}.</blockquote>{p}", "<table><tr><td>{t}</td><td>{s}</td></tr></table>", "<pre>{s}</pre>", "<p>{s} {a} {s}.</p>", "<h3>{t}</h3>{p}", "<p>{t}</p>"]
+
+
+def training_pages(count: int = 160, seed: int = 4) -> list[str]:
+    """Whole generated pages. Words of content consist of the letter c, those of boilerplate of the letter b, which no feature sees."""
+    rng = np.random.default_rng(seed)
+
+    def fill(form: str, letter: str) -> str:
+        say = lambda low, high: " ".join(letter * int(k) for k in rng.integers(2, 9, int(rng.integers(low, high))))
+        one = {
+            "{p}": lambda: f"<p>{say(4, 90)}{rng.choice(['.', '.', '!', ''])}</p>", "{s}": lambda: say(5, 20), "{t}": lambda: say(1, 4),
+            "{a}": lambda: f"<a href=x>{say(1, 4)}</a>", "{l}": lambda: f"<li><a href=x>{say(1, 4)}</a></li>", "{}": lambda: fill("".join(rng.choice(_TEXTS, int(rng.integers(1, 4)))), letter),
+        }
+        return re.sub(r"\{\w?\}", lambda m: one[m[0]](), form)
+
     out = []
-    for _ in range(12):
-        out += [(g.replace("{}", fill(inner())), True) for g in good]
-        out += [(b.replace("{}", fill(inner())), False) for b in bad]
-        out += [(w.replace("{}", link() * 4), False) for w in ("<nav><ul>{}</ul></nav>", "<div><ul>{}</ul></div>", "<div class='menu'><ul>{}</ul></div>", "<footer><ul>{}</ul></footer>")]
-        out += [(f"<div>&copy; {say(3)}</div>", False), (f"<div><p>{say(2)} all rights reserved.</p></div>", False), (f"<div><a href=x>{say(2)}</a> | <a href=x>{say(2)}</a></div>", False)]
+    for k in range(count):
+        good, bad = (_GOOD, _BAD) if k % 2 else (_GOOD + _GOOD_NAMED, _BAD + _BAD_NAMED)
+        some = lambda n: "".join(fill(str(x), "b") for x in rng.choice(bad, int(rng.integers(0, n))))  # noqa: B023, E731
+        inner = fill(str(rng.choice(_INNER_BAD[: 7 if k % 2 == 0 else 0] or [""])), "b") if rng.random() < 0.4 else ""
+        main = fill(str(rng.choice(good)).replace("{}", "{}" + "\0" + "{}", 1), "c").replace("\0", inner)
+        out.append(f"<html><body>{some(4)}{main}{some(4)}</body></html>")
     return out
 
 
 @lru_cache(1)
 def weights() -> tuple[float, ...]:
     """Ridge-penalised logistic regression on the generated pages, by Newton steps."""
-    rows = [(features(b), label) for page, label in _training_pages() for b in blocks_of(f"<html><body>{page}</body></html>")]
+    rows = [(features(b), next(c for c in b.text if c in "bc") == "c") for page in training_pages() for b in blocks_of(page)]
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     w = np.zeros(x.shape[1])
     for _ in range(25):
