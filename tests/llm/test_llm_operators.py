@@ -154,7 +154,6 @@ def test_templates_and_others():
     m = licences.train()
     for family, group in licences.TEMPLATES.items():
         for text in group:
-            assert any(a in text.lower() for a in licences.ANCHORS)
             assert m.classify(text)[0] == family, text
     assert all(m.classify(o)[0] == licences.UNKNOWN for o in licences.OTHERS)
     assert [x[1] for x in m.scan("first line\nReleased under the MIT License.\nlast")] == ["mit"]
