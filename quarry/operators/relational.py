@@ -111,10 +111,19 @@ def rare_and_fill(df: DataFrame, rare: Column, n: int, seed: int, key: str) -> D
     return few.unionByName(sample(df.filter(~rare), max(0, n - few.count()), seed, key))
 
 
+def range_of(key: str) -> Column:
+    """One of 256 ranges of an md5 of the key, the same in every engine; a hot pool is numbered range by range."""
+    return F.substring(F.md5(F.col(key).cast("string")), 1, 2)
+
+
 def numbered_pool(pool: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The pool with each row's ``position`` (from 0) in its key, and the key's ``pool_size``."""
+    """The pool with each row's ``position`` (from 0, by range of ``order`` and ``order``) in its key, and the key's ``pool_size``."""
+    rows = pool.withColumn("_b", range_of(order))
+    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     w = W.partitionBy(*keys)
-    return pool.select("*", (F.row_number().over(w.orderBy(order)) - 1).alias("position"), F.count("*").over(w).alias("pool_size"))
+    counts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_n").over(w).alias("pool_size"))
+    own = rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(order)) - 1)
+    return own.join(counts, [*keys, "_b"]).withColumn("position", F.col("_start") + F.col("_r")).drop("_b", "_r", "_start")
 
 
 def consume(pool: DataFrame, takers: DataFrame, group: str, each: int, pool_order: list[Column], taker_order: list[Column]) -> DataFrame:

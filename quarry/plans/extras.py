@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import attrs, similarity, text
 from quarry.functions import lexicon as L
 from quarry.operators import dictionary, evaluate, features, model, negatives, parse, relational, weights
-from quarry.plans.models import TOP, decorated, top, training
+from quarry.plans.models import DECORATED, TOP, decorated, source_sql, top, training
 from quarry.plans.registry import query, quoted, tok
 from quarry.plans.text_features import BRANDS, FOLD, KV, PAIR, QW, TFIDF, TYPED, _tfidf, BT, STEM, per_pair, stems_sql
 
@@ -82,7 +82,7 @@ def knn_neighbours(t):
 # --- negatives, pseudo labels, expansion --------------------------------------------------------------------------------
 
 
-@query("""WITH ii AS (SELECT item_id, string_split(category, '/')[1] AS main FROM items), po AS (SELECT item_id AS neg, main, row_number() OVER (PARTITION BY main ORDER BY item_id) - 1 AS position, count(*) OVER (PARTITION BY main) AS pool_size FROM ii), z AS (SELECT DISTINCT main, pool_size FROM po),
+@query("""WITH ii AS (SELECT item_id, string_split(category, '/')[1] AS main FROM items), po AS (SELECT item_id AS neg, main, row_number() OVER (PARTITION BY main ORDER BY substr(md5(CAST(item_id AS VARCHAR)), 1, 2), item_id) - 1 AS position, count(*) OVER (PARTITION BY main) AS pool_size FROM ii), z AS (SELECT DISTINCT main, pool_size FROM po),
   x AS (SELECT term_id, main, copy, CAST('0x' || substr(md5('42|replace|' || term_id || '|' || item_id || '|' || copy), 1, 8) AS BIGINT) % pool_size AS position FROM pairs JOIN ii USING (item_id) JOIN z USING (main), range(0, 2) g(copy))
   SELECT x.term_id, neg AS item_id, CAST(copy AS INT) AS copy FROM x JOIN po USING (main, position) WHERE NOT EXISTS (SELECT 1 FROM pairs k WHERE k.term_id = x.term_id AND k.item_id = neg)""")
 def category_draws_with_replacement(t):
@@ -90,13 +90,25 @@ def category_draws_with_replacement(t):
     return negatives.with_replacement(p, i, "main", 2, 42)
 
 
-@query()
+@query(f"""WITH {DECORATED}, d1 AS (SELECT * FROM dp QUALIFY row_number() OVER (PARTITION BY term_id, main ORDER BY item_id) = 1), {source_sql('per_term', pool='main', key='d.main', tries=20, most=5, of='d1')} SELECT term_id, item_id FROM per_term_f""")
 def category_negatives_per_term(t):
     p, i = decorated(t)
     once = relational.first_by(p, ["term_id", "main"], c("item_id"))
     source = negatives.Source("per_term", {"main": c("main")}, tries=20, most=5)
-    got = negatives.drawn(once, i, source, 42).select("term_id", "item_id")
-    return relational.unseen(got, t.pairs, "term_id", "item_id")
+    return negatives.drawn(once, i, [source], 42, t.pairs).select("term_id", "item_id")
+
+
+REPLACE = "CAST('0x' || substr(md5('42|{0}|' || term_id || '|' || item_id || '|' || copy), 1, 8) AS BIGINT)"
+PLACE = "substr(md5(CAST(item_id AS VARCHAR)), 1, 2), item_id"
+
+
+@query(f"""WITH ii AS (SELECT item_id, string_split(category, '/')[1] AS main FROM items), po AS (SELECT item_id AS neg, main, row_number() OVER (PARTITION BY main ORDER BY {PLACE}) - 1 AS position, count(*) OVER (PARTITION BY main) AS n, row_number() OVER (ORDER BY {PLACE}) - 1 AS place, count(*) OVER () AS m FROM ii),
+  z AS (SELECT DISTINCT main, n FROM po), x AS (SELECT term_id, item_id, main, copy FROM pairs JOIN ii USING (item_id), range(0, 2) g(copy)),
+  r AS (SELECT term_id, neg, 'hard' AS part FROM (SELECT term_id, x.main, {REPLACE.format('replace')} % n AS position FROM x JOIN z USING (main)) JOIN po USING (main, position) UNION ALL SELECT term_id, neg, 'easy' FROM (SELECT term_id, {REPLACE.format('easy')} % (SELECT max(m) FROM po) AS place FROM x) JOIN po USING (place))
+  SELECT term_id, neg AS item_id, part FROM r WHERE NOT EXISTS (SELECT 1 FROM pairs k WHERE k.term_id = r.term_id AND k.item_id = neg)""")
+def half_random_negatives(t):
+    p, i = decorated(t)
+    return negatives.halves(p, i, "main", 2, 2, 42)
 
 
 @query(f"WITH {TFIDF}, s AS (SELECT term_id, item_id, round(sum(qw.w * iw.w), 6) AS score FROM qw JOIN iw USING (term) WHERE term_id % 20 = 0 GROUP BY 1, 2 HAVING round(sum(qw.w * iw.w), 6) > 0.01), a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) <= 60) SELECT term_id, item_id, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) AS INT) AS rank FROM a WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.term_id = a.term_id AND p.item_id = a.item_id) QUALIFY rank <= 20")

@@ -9,7 +9,7 @@ from quarry.operators import evaluate, model, negatives, relational, retrieve
 from quarry.plans.registry import query
 from quarry.plans.text_features import FAMILY, KV, SYN, has, word
 from quarry.functions import lexicon as L
-from quarry.plans.registry import tok
+from quarry.plans.registry import quoted, tok
 
 c = F.col
 DOT = "list_reduce(list_prepend(CAST(0 AS DOUBLE), [CAST({0}[z] AS DOUBLE) * CAST({1}[z] AS DOUBLE) FOR z IN range(1, len({0}) + 1)]), lambda s, x: s + x)"
@@ -106,58 +106,91 @@ def decorated(t):
     return t.pairs.join(t.terms, "term_id").join(i, "item_id"), i
 
 
-def source_sql(name: str, pool: str, key: str, when: str, valid: str, tries: int, most: int) -> str:
-    """One source: numbered pool, tries, first valid ones."""
-    part = f"PARTITION BY {pool}" if pool else ""
-    on = " AND ".join(["position = pos", *([f"({pool}) = ({key})"] if pool else [])])
-    size = f"JOIN (SELECT DISTINCT {pool}, pool_size FROM {name}_p) z ON ({', '.join('z.' + x.strip() for x in pool.split(','))}) = ({key})" if pool else f"CROSS JOIN (SELECT max(pool_size) AS pool_size FROM {name}_p) z"
-    pos = HEX.format(f"'{name}|' || d.term_id || '|' || d.item_id || '|' || try")
-    prefixed = ", ".join("p." + x.strip() for x in pool.split(",")) if pool else ""
-    on = " AND ".join(["p.position = x.pos", *([f"({prefixed}) = ({key.replace('d.', 'x.')})"] if pool else [])])
-    return f"""{name}_p AS (SELECT *, row_number() OVER ({part} ORDER BY item_id) - 1 AS position, count(*) OVER ({part}) AS pool_size FROM di),
-  {name}_x AS (SELECT d.*, try, {pos} % z.pool_size AS pos FROM dp d {size} CROSS JOIN range(0, {tries}) tr(try) WHERE {when}),
-  {name}_g AS (SELECT x.term_id, x.item_id AS pos_item, p.item_id, try FROM {name}_x x JOIN {name}_p p ON {on} WHERE p.item_id <> x.item_id AND ({valid}) AND NOT EXISTS (SELECT 1 FROM pairs k WHERE k.term_id = x.term_id AND k.item_id = p.item_id)),
-  {name}_f AS (SELECT * FROM (SELECT * FROM {name}_g QUALIFY row_number() OVER (PARTITION BY term_id, pos_item, item_id ORDER BY try) = 1) QUALIFY row_number() OVER (PARTITION BY term_id, pos_item ORDER BY try) <= {most})"""
+def source_sql(name: str, pool: str = "", key: str = "", when: str = "TRUE", among: str = "TRUE", block: str = "''", own: str = "NULL", tries: int = 40, most: int = 1, other: tuple[str, str] | None = None, of: str = "dp") -> str:
+    """One source: its numbered pool, the blocks in it, all tries, the first valid ones. ``other``: (pool, key) where the pool is absent."""
+    def numbered(n: str, cols: str) -> str:
+        cols = cols or "0"
+        return f"""{n}_p AS (SELECT item_id, ({cols}) AS pool, {block} AS block, row_number() OVER w - 1 AS position, count(*) OVER (PARTITION BY {cols}) AS pool_size FROM di WHERE {among} WINDOW w AS (PARTITION BY {cols} ORDER BY {block}, substr(md5(CAST(item_id AS VARCHAR)), 1, 2), item_id)),
+  {n}_z AS (SELECT DISTINCT pool, pool_size FROM {n}_p), {n}_b AS (SELECT pool, block, min(position) AS bs, count(*) AS bn FROM {n}_p GROUP BY 1, 2)"""
+
+    def asked(n: str, value: str, extra: str) -> str:
+        return f"SELECT d.*, ({value or '0'}) AS pool, z.pool_size, b.bs, b.bn FROM {of} d JOIN {n}_z z ON z.pool = ({value or '0'}) LEFT JOIN {n}_b b ON b.pool = z.pool AND b.block = {own} WHERE ({when}) {extra}"
+
+    def found(n: str, src: str) -> str:
+        at = HEX.format(f"'{name}|' || term_id || '|' || item_id || '|' || try")
+        return f"""{n}_t AS (SELECT *, {at} % (pool_size - coalesce(bn, 0)) AS at FROM ({src}) CROSS JOIN range(0, {tries}) tr(try) WHERE pool_size > coalesce(bn, 0)),
+  {n}_g AS (SELECT x.term_id, x.item_id AS pos_item, p.item_id, try FROM {n}_t x JOIN {n}_p p ON p.pool = x.pool AND p.position = x.at + CASE WHEN x.at >= coalesce(x.bs, x.pool_size) THEN x.bn ELSE 0 END WHERE p.item_id <> x.item_id AND NOT EXISTS (SELECT 1 FROM pairs k WHERE k.term_id = x.term_id AND k.item_id = p.item_id))"""
+
+    parts, rows = [numbered(name, pool), found(name, asked(name, key, ""))], f"SELECT * FROM {name}_g"
+    if other:
+        o = name + "_o"
+        parts += [numbered(o, other[0]), found(o, asked(o, other[1], f"AND NOT EXISTS (SELECT 1 FROM {name}_z y WHERE y.pool = ({key}))"))]
+        rows += f" UNION ALL SELECT * FROM {o}_g"
+    first = f"SELECT * FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY term_id, pos_item, item_id ORDER BY try) = 1"
+    return ",\n  ".join([*parts, f"{name}_f AS (SELECT * FROM ({first}) QUALIFY row_number() OVER (PARTITION BY term_id, pos_item ORDER BY try) <= {most})"])
+
+
+def union_sql(sources: list[dict], each: int = 5) -> str:
+    """All sources in their order, no pair twice, ``each`` a positive."""
+    rows = " UNION ALL ".join(f"SELECT term_id, item_id, pos_item, try, '{s['name']}' AS src, {i} AS p FROM {s['name']}_f" for i, s in enumerate(sources))
+    return f"""{', '.join(source_sql(**s) for s in sources)}, u AS ({rows}), once AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY term_id, item_id ORDER BY p, try, pos_item) = 1)
+  SELECT term_id, item_id, 0 AS label, src FROM once QUALIFY row_number() OVER (PARTITION BY term_id, pos_item ORDER BY p, try, item_id) <= {each}"""
 
 
 DECORATED = f"""{KV}, di AS (SELECT item_id, string_split(category, '/')[1] AS main, coalesce(string_split(category, '/')[2], 'unknown') AS sub, brand, gender, age_group, {FAMILY(SYN("coalesce([x.v FOR x IN e IF x.k = 'renk'][-1], '')"))} AS colour FROM kv),
   dp AS (SELECT *, {FAMILY(SYN(has(tok('query'), L.COLOURS) + '[1]'))} AS qcolour FROM pairs JOIN terms USING (term_id) JOIN di USING (item_id))"""
 MAN, WOMAN = word("d.query", "erkek"), word("d.query", "kadın", "bayan")
+GENDER, AGE = f"CASE WHEN {MAN} THEN 'kadın' ELSE 'erkek' END", word("d.query", "bebek", "çocuk")
 SOURCES = [
-    ("same_brand_diff_main", "brand", "d.brand", "d.brand <> 'unknown'", "p.main <> x.main", 8, 1),
-    ("same_brand_diff_sub", "brand", "d.brand", "d.brand <> 'unknown'", "p.main = x.main AND p.sub <> x.sub", 8, 1),
-    ("gender_conflict", "main, gender", f"d.main, CASE WHEN {MAN} THEN 'kadın' ELSE 'erkek' END", f"({MAN} OR {WOMAN})", "TRUE", 8, 1),
-    ("age_conflict", "main, age_group", "d.main, 'yetişkin'", word("d.query", "bebek", "çocuk"), "TRUE", 8, 1),
-    ("color_conflict", "main", "d.main", "d.qcolour IS NOT NULL", "p.colour <> '' AND p.colour <> x.qcolour", 8, 1),
-    ("same_main_category", "main", "d.main", "TRUE", "TRUE", 8, 1),
+    dict(name="same_brand_diff_main", pool="brand", key="d.brand", when="d.brand <> 'unknown'", block="main", own="d.main", tries=60),
+    dict(name="same_brand_diff_sub", pool="brand, main", key="d.brand, d.main", when="d.brand <> 'unknown'", block="sub", own="d.sub", tries=80),
+    dict(name="gender_conflict", pool="main, gender", key=f"d.main, {GENDER}", when=f"{MAN} OR {WOMAN}", other=("gender", GENDER)),
+    dict(name="age_conflict", pool="main, age_group", key="d.main, 'yetişkin'", when=AGE, other=("age_group", "'yetişkin'")),
+    dict(name="color_conflict", pool="main", key="d.main", when="d.qcolour IS NOT NULL", among="colour <> ''", block="colour", own="d.qcolour", tries=60),
+    dict(name="same_main_category", pool="main", key="d.main"),
+    dict(name="different_main_category", block="main", own="d.main", tries=80, most=5),
+]
+SWAPS = [
+    dict(name="brand_swap", pool="main", key="d.main", when=f"d.brand <> 'unknown' AND len(list_intersect({tok('d.query')}, [{quoted(L.ACCESSORY_WORDS)}])) = 0", among="brand <> 'unknown'", block="brand", own="d.brand", most=2),
+    dict(name="gender_swap", pool="main, gender", key=f"d.main, {GENDER}", when=f"{MAN} OR {WOMAN}"),
+    dict(name="age_swap", pool="main, age_group", key="d.main, 'yetişkin'", when=AGE),
+    dict(name="same_cat", pool="main", key="d.main"),
 ]
 
 
-@query(f"""WITH {DECORATED}, {', '.join(source_sql(*s) for s in SOURCES)}, u AS ({' UNION ALL '.join(f"SELECT term_id, item_id, pos_item, try, '{s[0]}' AS src, {i} AS p FROM {s[0]}_f" for i, s in enumerate(SOURCES))}),
-  once AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY term_id, item_id ORDER BY p, try, pos_item) = 1) SELECT term_id, item_id, 0 AS label, src FROM once QUALIFY row_number() OVER (PARTITION BY term_id, pos_item ORDER BY p, try, item_id) <= 5""")
+@query(f"WITH {DECORATED}, {union_sql(SOURCES[:6])}")
 def hash_draw_negatives(t):
     p, i = decorated(t)
     return negatives.negatives(p, i, negatives.rule_sources()[:6], 5, 42)
 
 
-@query()
+@query(f"WITH {DECORATED}, {union_sql(SOURCES)}")
 def hash_draw_negatives_all_sources(t):
     p, i = decorated(t)
     return negatives.negatives(p, i, negatives.rule_sources(), 5, 42)
 
 
-@query()
+@query(f"WITH {DECORATED}, {union_sql(SWAPS)}")
 def swap_negatives(t):
     p, i = decorated(t)
     return negatives.negatives(p, i, negatives.swap_sources(), 5, 42)
 
 
+@query(f"""WITH {DECORATED}, {union_sql([dict(name='rare_gender', pool='main, gender', key=f"d.main, {GENDER}", when=f"{MAN} OR {WOMAN}", among="item_id % 97 = 0", other=('gender', GENDER))])}""")
+def fallback_pool_negatives(t):
+    """Pools so thin that most categories lack one: the pool of the whole gender takes over."""
+    p, i = decorated(t)
+    s = negatives.rule_sources()[2]
+    s.name, s.among = "rare_gender", c("item_id") % 97 == 0
+    return negatives.negatives(p, i, [s], 5, 42)
+
+
 @query(f"WITH {TOP}, {SAME}, pos AS (SELECT query_id AS term_id, item_id FROM same), m AS (SELECT query_id AS term_id, item_id, rank FROM r WHERE rank BETWEEN 11 AND 60 AND NOT EXISTS (SELECT 1 FROM pos WHERE pos.term_id = query_id AND pos.item_id = r.item_id)), n AS (SELECT term_id, 2 * count(*) AS most FROM pos GROUP BY 1) SELECT term_id, item_id, rank FROM m JOIN n USING (term_id) QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY rank) <= most", adapters=False)
 def mined_negatives(t):
     return negatives.mined(top(t, 60).withColumnRenamed("query_id", "term_id"), same_label(t).withColumnRenamed("query_id", "term_id"), 11, 60, 2)
 
 
-@query()
+@query(f"WITH di AS (SELECT DISTINCT item_id FROM pairs), {source_sql('cross_query', tries=4, most=2, of='pairs')} SELECT DISTINCT term_id, item_id FROM cross_query_f")
 def cross_query_negatives(t):
     return negatives.from_other_terms(t.pairs, 42)
 
