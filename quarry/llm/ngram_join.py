@@ -252,7 +252,7 @@ def _index(docs: DataFrame, n: int, num: int, den: int, moved: dict[bytes, int])
                 sig, spare = signatures(h, num, den)
                 place = sig & (COUNTERS - 1)
                 hot = met[place] >= SPLIT
-                np.add.at(met, place, 1)
+                met[place] += 1
                 sigs.append(sig)
                 nodes.append(np.full(len(sig), node, np.int64))
                 spares.append(spare)
@@ -359,7 +359,7 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def _cells(df: DataFrame, num: int, den: int, near: bool) -> DataFrame:
-    """A size cell as part of the join key: sets that link lie in the same cell or in neighbouring ones."""
+    """A size cell as part of the join key: sets that link lie in the same cell or in neighbouring ones; ``near``: a row for each."""
     own = F.floor(F.log(F.col("size")) / (1.01 * math.log(max(den / num, 1.0001)))).cast("int")
     return df.withColumn("cell", F.explode(F.array(own - 1, own, own + 1)) if near else own)
 
@@ -409,10 +409,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             sides = [(open_.filter("probe and apart"), open_), (open_.filter("probe and not apart"), open_.filter("apart"))]
         else:
             drawn = W.partitionBy("sig").orderBy(F.xxhash64("node", F.lit(hubs)), "node")
-            sides = [(open_.withColumn("_r", F.row_number().over(drawn)).filter(F.col("_r") <= hubs).drop("_r"), open_)]
+            few = open_.withColumn("_r", F.row_number().over(drawn)).filter(F.col("_r") <= hubs).drop("_r")
+            sides = [(_cells(few, num, den, True), _cells(open_, num, den, False))]  # the few hubs are repeated, not the members
         pairs = None
         for mine, other in sides:
-            got = _named(_cells(mine, num, den, False), "x_").join(_named(_cells(other, num, den, True), "y_"), ["sig", "cell"]).filter((F.col("x_label") != F.col("y_label")) & plausible)
+            got = _named(mine, "x_").join(_named(other, "y_"), ["sig"] if last else ["sig", "cell"]).filter((F.col("x_label") != F.col("y_label")) & plausible)
             got = got.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
             pairs = got if pairs is None else pairs.unionAll(got)
         pairs = materialize(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
