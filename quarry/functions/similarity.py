@@ -34,26 +34,49 @@ def subset(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0).cast("double")
 
 
-def word_match(w: Column, words: Column, word_stems: Column) -> Column:
-    """A word equals one of ``words``, or their stems agree, or one starts with the first five letters of its stem."""
-    s = stem(w)
-    return F.array_contains(words, w) | F.array_contains(word_stems, s) | ((F.length(s) >= 5) & F.exists(words, lambda x: F.startswith(x, F.substring(s, 1, 5))))
+def stemmed(words: Column) -> Column:
+    """Words with their stems, (w, s); made once for a term, as stemming is the dear part of matching."""
+    return F.transform(words, lambda w: F.struct(w.alias("w"), stem(w).alias("s")))
 
 
-def head_match(query: Column, words: Column, pack: Pack = TURKISH) -> Column:
-    """How well the query's head noun is found: 1 as it is, 0.8 by its stem, 0.4 by the stem's first five letters."""
-    h = head_noun(query, pack.stop)
-    s = stem(h)
+def content_words(query: Column, pack: Pack = TURKISH) -> Column:
+    return stemmed(F.filter(without(query, pack.stop), lambda w: F.length(w) > 1))
+
+
+def product_words(query: Column, pack: Pack = TURKISH) -> Column:
+    """Content words that are no gender, age, colour or material."""
+    typed = [*pack.gender, *pack.age, *pack.colours, *pack.materials, *pack.stop]
+    return stemmed(F.filter(without(query, typed), lambda w: F.length(w) > 1))
+
+
+def word_match(x: Column, words: Column, word_stems: Column) -> Column:
+    """A word (w, s) equals one of ``words``, or their stems agree, or one starts with the first five letters of its stem."""
+    return F.array_contains(words, x["w"]) | F.array_contains(word_stems, x["s"]) | ((F.length(x["s"]) >= 5) & F.exists(words, lambda y: F.startswith(y, F.substring(x["s"], 1, 5))))
+
+
+def head_match(query: Column, words: Column, pack: Pack = TURKISH, word_stems: Column | None = None, head: Column | None = None) -> Column:
+    """How well the query's head noun is found: 1 as it is, 0.8 by its stem, 0.4 by the stem's first five letters.
+
+    ``word_stems`` and ``head`` (w, s) can be made before pairs are joined, here as below.
+    """
+    x = head if head is not None else query_head(query, pack)
+    own = word_stems if word_stems is not None else stems(words)
+    h, s = x["w"], x["s"]
     return (
-        F.when(h == "", 0.0).when(F.array_contains(words, h), 1.0).when(F.array_contains(stems(words), s), 0.8)
+        F.when(h == "", 0.0).when(F.array_contains(words, h), 1.0).when(F.array_contains(own, s), 0.8)
         .when((F.length(s) >= 5) & F.exists(words, lambda x: F.startswith(x, F.substring(s, 1, 5))), 0.4).otherwise(0.0)
     )
 
 
-def weighted_coverage(query: Column, words: Column, pack: Pack = TURKISH) -> Column:
+def query_head(query: Column, pack: Pack = TURKISH) -> Column:
+    h = head_noun(query, pack.stop)
+    return F.struct(h.alias("w"), stem(h).alias("s"))
+
+
+def weighted_coverage(query: Column, words: Column, pack: Pack = TURKISH, word_stems: Column | None = None, content: Column | None = None) -> Column:
     """Share of the query's content words that match, where the last one counts twice."""
-    content = F.filter(without(query, pack.stop), lambda w: F.length(w) > 1)
-    own = stems(words)
+    content = content if content is not None else content_words(query, pack)
+    own = word_stems if word_stems is not None else stems(words)
     weight = lambda i: F.when(i == F.size(content) - 1, 2.0).otherwise(1.0)
     hit = F.aggregate(F.transform(content, lambda w, i: F.when(word_match(w, words, own), weight(i)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(content) == 0, coverage(query, words)).otherwise(hit / (F.size(content) + 1.0))
@@ -64,32 +87,35 @@ def brand_tokens(brand: Column) -> Column:
     return F.when((brand == "") | (brand == UNKNOWN), F.array().cast("array<string>")).otherwise(F.array_distinct(own))
 
 
-def brand_overlap(query_text: Column, brand: Column) -> Column:
-    return coverage(brand_tokens(brand), tokens(strip_punctuation(query_text)))
+def plain_tokens(query_text: Column) -> Column:
+    return tokens(strip_punctuation(query_text))
+
 
+def brand_overlap(query_text: Column, brand: Column, brand_words: Column | None = None, plain: Column | None = None) -> Column:
+    return coverage(brand_words if brand_words is not None else brand_tokens(brand), plain if plain is not None else plain_tokens(query_text))
 
-def brand_weight(query: Column, brand: Column) -> Column:
+
+def brand_weight(query: Column, brand: Column, brand_words: Column | None = None) -> Column:
     """Share of the query's words, with repeats, that are brand tokens."""
-    b = brand_tokens(brand)
+    b = brand_words if brand_words is not None else brand_tokens(brand)
     return _share(F.size(F.filter(query, lambda t: F.array_contains(b, t))), F.size(query))
 
 
-def product_cover(query_text: Column, query: Column, words: Column, brand: Column, pack: Pack = TURKISH) -> Column:
+def product_cover(query_text: Column, query: Column, words: Column, brand: Column, pack: Pack = TURKISH, word_stems: Column | None = None, product: Column | None = None, brand_words: Column | None = None, plain: Column | None = None) -> Column:
     """Share of the query's product words that match, after typed words and, if it clearly names the brand, brand words are dropped."""
-    typed = [*pack.gender, *pack.age, *pack.colours, *pack.materials, *pack.stop]
-    b = F.when(brand_overlap(query_text, brand) > 0.3, brand_tokens(brand)).otherwise(F.array().cast("array<string>"))
-    keep = F.filter(without(query, typed), lambda w: (F.length(w) > 1) & ~F.array_contains(b, w))
-    own = stems(words)
-    return F.when(F.size(keep) == 0, coverage(query, words)).otherwise(F.size(F.filter(keep, lambda w: word_match(w, words, own))) / F.size(keep))
+    product, own = product if product is not None else product_words(query, pack), word_stems if word_stems is not None else stems(words)
+    b = brand_words if brand_words is not None else brand_tokens(brand)
+    b = F.when(brand_overlap(query_text, brand, b, plain) > 0.3, b).otherwise(F.array().cast("array<string>"))
+    keep = F.filter(product, lambda x: ~F.array_contains(b, x["w"]))
+    return F.when(F.size(keep) == 0, coverage(query, words)).otherwise(F.size(F.filter(keep, lambda x: word_match(x, words, own))) / F.size(keep))
 
 
-def product_words_cover(query: Column, words: Column, brand: Column, pack: Pack = TURKISH) -> Column:
+def product_words_cover(query: Column, words: Column, brand: Column, pack: Pack = TURKISH, word_stems: Column | None = None, product: Column | None = None, brand_words: Column | None = None) -> Column:
     """As ``product_cover``, but brand words are always dropped, and a query without product words gives 0."""
-    typed = [*pack.gender, *pack.age, *pack.colours, *pack.materials, *pack.stop]
-    b = brand_tokens(brand)
-    keep = F.filter(without(query, typed), lambda w: (F.length(w) > 1) & ~F.array_contains(b, w))
-    own = stems(words)
-    return _share(F.size(F.filter(keep, lambda w: word_match(w, words, own))), F.size(keep))
+    product, own = product if product is not None else product_words(query, pack), word_stems if word_stems is not None else stems(words)
+    b = brand_words if brand_words is not None else brand_tokens(brand)
+    keep = F.filter(product, lambda x: ~F.array_contains(b, x["w"]))
+    return _share(F.size(F.filter(keep, lambda x: word_match(x, words, own))), F.size(keep))
 
 
 def attribute_jaccard(query: Column, attributes: Column) -> Column:
@@ -114,11 +140,16 @@ def either_contains(brand: Column, words: Column, least: int = 3) -> Column:
 # --- fuzzy ratios: no built-in computes a longest common subsequence ---------------------------------------------------
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit vectors in one long number."""
+def _masks(a: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def lcs(a: str, b: str, masks: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bit vectors in one long number; ``masks`` are those of a."""
+    masks = masks if masks is not None else _masks(a)
     full = (1 << len(a)) - 1
     v = full
     for c in b:
@@ -132,20 +163,36 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
+def _best_window(s: str, t: str, best: float) -> float:
+    """Best ratio of s with any window of t of its length, cut at the ends; windows whose characters can't beat ``best`` are skipped.
+
+    The common characters of a window, counted with repeats, bound its subsequence; sliding changes them by one character on each side.
+    """
+    n, masks, have, common = len(s), _masks(s), dict.fromkeys(s, 0), 0
+    for c in s:
+        have[c] += 1  # how many of c are still unmatched by the window
+    for i in range(1 - n, len(t)):
+        if (new := i + n - 1) < len(t) and (c := t[new]) in have:
+            common += have[c] > 0
+            have[c] -= 1
+        if i > 0 and (c := t[i - 1]) in have:
+            have[c] += 1
+            common -= have[c] > 0
+        size = min(new, len(t) - 1) - max(i, 0) + 1
+        if 2 * common / (n + size) > best:
+            best = max(best, 2 * lcs(s, t[max(i, 0) : i + n], masks) / (n + size))
+    return best
+
+
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter text with any window of the longer one, windows at the ends may be cut."""
     s, t = (a, b) if len(a) <= len(b) else (b, a)
     if not s:
         return 0.0 if t else 1.0
-    n, best = len(s), 0.0
-    for i in range(1 - n, len(t)):
-        window = t[max(0, i) : i + n]
-        if 2 * min(n, len(window)) / (n + len(window)) > best:
-            best = max(best, ratio(s, window))
-    if len(a) == len(b):
-        for i in range(1 - n, n):
-            best = max(best, ratio(t, s[max(0, i) : i + n]))
-    return best
+    if s in t:
+        return 1.0
+    best = _best_window(s, t, 0.0)
+    return _best_window(t, s, best) if len(a) == len(b) else best
 
 
 def token_sort_ratio(a: str, b: str) -> float:

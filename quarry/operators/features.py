@@ -12,20 +12,21 @@ from quarry.operators import dictionary, weights
 c = F.col
 
 
-def pair_features(pairs: DataFrame, terms: DataFrame, items: DataFrame, scores: DataFrame | None = None, cosines: DataFrame | None = None) -> DataFrame:
-    """term_id, item_id and 42 features. ``scores`` and ``cosines`` (term_id, item_id, score) come from encoders; without them these features are 0."""
+def pair_features(pairs: DataFrame, terms: DataFrame, items: DataFrame, scores: DataFrame | None = None, cosines: DataFrame | None = None, vocabulary: int | None = None) -> DataFrame:
+    """term_id, item_id and 42 features. ``vocabulary``: only so many of the most frequent terms get TF-IDF weights; all, if not given.
+    ``scores`` and ``cosines`` (term_id, item_id, score) come from encoders; without them these features are 0."""
     brand = dictionary.longest_phrase(terms, dictionary.trusted_brands(items), "brand", "qbrand")
     phrase = dictionary.longest_phrase(terms, dictionary.category_phrases(items), "phrase", "qcat")
     t = terms.select("term_id", "query", text.tokens(c("query")).alias("q")).join(brand, "term_id", "left").join(phrase, "term_id", "left")
-    t = t.withColumn("sq", text.stems(c("q"))).withColumn("qc", signals.query_colour(c("q")))
+    t = t.select("*", text.stems(c("q")).alias("sq"), signals.query_colour(c("q")).alias("qc"), similarity.query_head(c("q")).alias("head"), similarity.content_words(c("q")).alias("content"), similarity.product_words(c("q")).alias("product"), similarity.plain_tokens(c("query")).alias("plain"))
     a = c("attributes")
     i = items.select(
         "*", text.tokens(c("title")).alias("tt"), text.tokens(F.replace(c("category"), F.lit("/"), F.lit(" "))).alias("ct"), attrs.value_of(a, "renk").alias("colour"),
         attrs.value_of(a, "materyal bileşeni", "materyal").alias("material"), attrs.value_of(a, "kol boyu", "kol tipi").alias("sleeve"),
     )
-    i = i.withColumn("st", text.stems(c("tt"))).withColumn("sc", text.stems(c("ct")))
+    i = i.select("*", text.stems(c("tt")).alias("st"), text.stems(c("ct")).alias("sc"), similarity.brand_tokens(c("brand")).alias("bt"))
     texts = terms.select(F.concat(F.lit("q"), c("term_id")).alias("k"), weights.words(c("query")).alias("ws")).unionAll(items.select(F.concat(F.lit("i"), c("item_id")), weights.words(c("title"))))
-    w = weights.tfidf(texts, texts, "k", F.concat(c("ws"), text.bigrams(c("ws"))), 2, 60_000)
+    w = weights.tfidf(texts, texts, "k", F.concat(c("ws"), text.bigrams(c("ws"))), 2, vocabulary)
     keyed = pairs.select("term_id", "item_id", F.concat(F.lit("q"), c("term_id")).alias("_q"), F.concat(F.lit("i"), c("item_id")).alias("_i"))
     tfidf = (
         keyed.join(w.select(c("k").alias("_q"), "term", c("w").alias("_a")), "_q").join(w.select(c("k").alias("_i"), "term", c("w").alias("_b")), ["_i", "term"])
@@ -44,10 +45,10 @@ def pair_features(pairs: DataFrame, terms: DataFrame, items: DataFrame, scores:
         similarity.jaccard(c("sq"), c("sc")).alias("stem_cat_jac"), signals.gender_cross(query, c("gender")).alias("gender_cross"), flag(F.contains(c("title"), first)).alias("first_tok_title"),
         flag((c("brand") != L.UNKNOWN) & F.contains(c("brand"), first)).alias("first_tok_brand"), F.size(q).alias("q_len"), F.size(tt).alias("t_len"), F.coalesce("bert_score", F.lit(0.0)).alias("bert_score"),
         attrs.level(c("category"), 0).alias("ana_kategori"), signals.colour_match(c("qc"), c("colour")).alias("color_typed"), c("qc").isNotNull().cast("double").alias("has_q_color"),
-        (c("colour") != "").cast("double").alias("attr_has_renk"), similarity.brand_overlap(query, c("brand")).alias("brand_tok_ovlp"), signals.material_match(q, c("material")).alias("material_match"),
+        (c("colour") != "").cast("double").alias("attr_has_renk"), similarity.brand_overlap(query, c("brand"), c("bt"), c("plain")).alias("brand_tok_ovlp"), signals.material_match(q, c("material")).alias("material_match"),
         signals.sleeve_match(query, c("sleeve")).alias("kol_boyu_match"), similarity.attribute_jaccard(q, c("attributes")).alias("attr_jac_fixed"), similarity.attribute_coverage(q, c("attributes")).alias("attr_q_cov"),
-        similarity.head_match(q, tt).alias("head_in_title"), similarity.weighted_coverage(q, tt).alias("weighted_q_cov"), similarity.head_match(q, ct).alias("head_in_cat"),
-        similarity.product_cover(query, q, tt, c("brand")).alias("product_type_cover"), similarity.subset(q, tt).alias("all_q_in_title"), similarity.brand_weight(q, c("brand")).alias("brand_weight"),
+        similarity.head_match(q, tt, word_stems=c("st"), head=c("head")).alias("head_in_title"), similarity.weighted_coverage(q, tt, word_stems=c("st"), content=c("content")).alias("weighted_q_cov"), similarity.head_match(q, ct, word_stems=c("sc"), head=c("head")).alias("head_in_cat"),
+        similarity.product_cover(query, q, tt, c("brand"), word_stems=c("st"), product=c("product"), brand_words=c("bt"), plain=c("plain")).alias("product_type_cover"), similarity.subset(q, tt).alias("all_q_in_title"), similarity.brand_weight(q, c("brand"), c("bt")).alias("brand_weight"),
         F.coalesce("tyembed_cos", F.lit(0.0)).alias("tyembed_cos"), signals.phrase_signal(c("qbrand"), c("brand"), True).alias("trusted_brand_mismatch"), signals.phrase_signal(c("qcat"), c("category"), False).alias("category_phrase_match"),
         signals.age_cross(query, c("age_group")).alias("age_cross"), signals.material_mismatch(q, c("material")).alias("material_mismatch"), signals.query_type(query, c("qbrand"), c("qcat")).alias("query_type"),
         signals.code_match(q, F.concat(tt, text.tokens(c("attributes")))).alias("spec_code_match"),
@@ -64,7 +65,8 @@ def labeler_features(pairs: DataFrame, terms: DataFrame, items: DataFrame, score
     ).withColumn("at", f(c("short")))
     given = lambda df, name: (df.select("term_id", "item_id", c("score").alias(name)) if df is not None else pairs.select("term_id", "item_id", F.lit(0.0).alias(name)))
     p = pairs.select("term_id", "item_id").join(t, "term_id").join(i, "item_id").join(given(scores, "bert_score"), ["term_id", "item_id"], "left").join(given(cosines, "cosine"), ["term_id", "item_id"], "left")
-    p = p.withColumn("target", F.concat("tt", "bt", "ct", "at")).withColumn("fz", similarity.fuzzy(c("query"), c("title")))
+    fuzzy = pairs.join(t, "term_id").join(i, "item_id").select("query", "title").distinct().select("query", "title", similarity.fuzzy(c("query"), c("title")).alias("fz"))  # distinct pairs of texts
+    p = p.withColumn("target", F.concat("tt", "bt", "ct", "at")).join(fuzzy, ["query", "title"])
     q, tt, bt, ct, at, target = (c(x) for x in ("q", "tt", "bt", "ct", "at", "target"))
     head, first = text.head_noun(q, tuple(L.FOLDED_STOP)), F.try_element_at(q, F.lit(1))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")

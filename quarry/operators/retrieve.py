@@ -32,20 +32,46 @@ def dense_top_k(queries: DataFrame, items: DataFrame, k: int, within: DataFrame
 
     queries (query_id, qv), items (item_id, vec). Every query is compared with every item exactly. The item side stays where it
     is; blocks of queries of bounded size are sent to it, and each block is cut to k rows a query before its shuffle. ``within``
-    (query_id, item_id): only these pairs.
+    (query_id, item_id): only these pairs. Rows without a vector take no part.
     """
     if within is not None:
         scored = within.join(queries, "query_id").join(items, "item_id").select("query_id", "item_id", dot(F.col("qv"), F.col("vec")).alias("score"))
         return top_k(scored, "query_id", k, F.col("score").desc(), F.col("item_id"))
+    queries, items = queries.filter("qv is not null"), items.filter("vec is not null").select("item_id", "vec")
     n = queries.count()
     blocks = max(1, -(-n // BLOCK))
-    out = None
+    kinds, found = dict(queries.dtypes)["query_id"], None
     for i in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = items.crossJoin(F.broadcast(part)).select("query_id", "item_id", F.round(dot(F.col("qv"), F.col("vec")), 9).alias("score"))
-        part = top_k(scored, "query_id", k, F.col("score").desc(), F.col("item_id"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        part = (queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).select("query_id", "qv").toArrow()  # bounded: about BLOCK rows
+        got = items.mapInArrow(_products(part, k), f"query_id {kinds}, item_id {dict(items.dtypes)['item_id']}, score double")
+        found = got if found is None else found.unionByName(got)
+    return top_k(found, "query_id", k, F.col("score").desc(), F.col("item_id"))
+
+
+def _products(queries, k: int):
+    """For batches of (item_id, vec): the k best items of each query in the batch, by one matrix product."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = queries.column("query_id").combine_chunks()
+    asks = np.array(queries.column("qv").to_pylist(), np.float64).reshape(len(names), -1)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            score = np.round(asks @ flat.reshape(batch.num_rows, -1).T, 9)
+            edge = max(0, batch.num_rows - k)
+            last = np.partition(score, edge, axis=1)[:, edge]
+            hit, ids = score >= last[:, None], np.array(batch.column(0).to_pylist())
+            for j in np.flatnonzero(hit.sum(1) > k):  # ties at the k-th place: the smaller items
+                at = np.flatnonzero(hit[j])
+                hit[j, at[np.lexsort((ids[at], -score[j, at]))[k:]]] = False
+            q, i = np.nonzero(hit)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(i)), pa.array(score[q, i])], names=["query_id", "item_id", "score"])
+
+    return run
 
 
 def transfer(neighbours: DataFrame, pairs: DataFrame, how: str) -> DataFrame:

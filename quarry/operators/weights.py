@@ -11,6 +11,9 @@ from quarry.functions import text
 #: Words of two characters or more; the class is spelled out so that every engine reads it alike.
 WORD = r"[0-9a-zA-Z_À-ɏ]{2,}"
 
+#: Distinct terms of the queries up to which they are broadcast.
+QUERY_TERMS = 1_000_000
+
 
 def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
@@ -52,15 +55,18 @@ def cosine(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, doc_terms: Column, query_terms: Column, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
     """(query, doc, score) of Okapi BM25; a negative idf becomes eps times the average one. Repeated query words count again."""
-    tf = counts(docs, doc, doc_terms)
-    size = docs.select(doc, F.size(doc_terms).alias("len"))
-    whole = size.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole)).select("term", F.log(F.col("n") - F.col("df") + 0.5).alias("_a"), F.log(F.col("df") + 0.5).alias("_b"))
-    idf = idf.select("term", (F.col("_a") - F.col("_b")).alias("raw"))
+    own = docs.select(doc, doc_terms.alias("_t")).withColumn("len", F.size("_t"))
+    whole = own.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    idf = own.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole))  # partial counts: a row a term and task is shuffled
+    idf = idf.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = idf.agg((F.avg("raw") * eps).alias("low"))
-    idf = idf.crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select(query, F.explode(query_terms).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
-    hit = asked.join(idf, "term").join(tf, "term").join(size, doc).crossJoin(F.broadcast(whole))
+    wanted = asked.select("term").distinct()
+    small = F.broadcast if wanted.count() <= QUERY_TERMS else (lambda df: df)
+    idf = idf.join(small(wanted), "term").crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw")).alias("idf"))
+    # only postings of the queries' terms are shuffled
+    tf = own.select(doc, "len", F.explode("_t").alias("term")).join(small(wanted), "term", "left_semi").groupBy(doc, "len", "term").agg(F.count("*").alias("tf"))
+    hit = asked.join(idf, "term").join(tf, "term").crossJoin(F.broadcast(whole))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return hit.groupBy(query, doc).agg(F.sum(part).alias("score"))
 

@@ -58,7 +58,7 @@ def brand_and_product_variants(t):
     frequent = t.items.select(F.explode(similarity.brand_tokens(c("brand"))).alias("w")).groupBy("w").count().filter("count >= 3").select("w", F.lit(1.0).alias("hit"))
     words = t.terms.select("term_id", F.explode(text.tokens(c("query"))).alias("w")).join(frequent, "w", "left")
     weight = words.groupBy("term_id").agg((F.sum(F.coalesce("hit", F.lit(0.0))) / F.count("*")).alias("brand_weight"))
-    return per_pair(t).join(weight, "term_id").select("term_id", "item_id", F.round("brand_weight", 9).alias("brand_weight"), F.round(similarity.product_words_cover(c("q"), c("tt"), c("brand")), 9).alias("product_type_cover"))
+    return per_pair(t).join(weight, "term_id").select("term_id", "item_id", F.round("brand_weight", 9).alias("brand_weight"), F.round(similarity.product_words_cover(c("q"), c("tt"), c("brand"), word_stems=c("st"), product=c("product"), brand_words=c("bt")), 9).alias("product_type_cover"))
 
 
 CHARS = "unnest(list_concat([x[i:i + 2] FOR i IN range(1, greatest(length(x) - 2, 1) + 1)], list_concat(CASE WHEN length(x) > 3 THEN [x[i:i + 3] FOR i IN range(1, greatest(length(x) - 3, 1) + 1)] ELSE [] END, CASE WHEN length(x) > 4 THEN [x[i:i + 4] FOR i IN range(1, greatest(length(x) - 4, 1) + 1)] ELSE [] END)))"

@@ -26,10 +26,12 @@ def has(x: str, ws) -> str:
 
 
 def per_pair(t, *extra: str):
-    """Pairs with tokens made once for each term and each item, before the join."""
+    """Pairs with tokens and stems made once for each term and each item, before the join; what a query doesn't use is never made."""
     q = t.terms.select("term_id", "query", text.tokens(c("query")).alias("q"))
+    q = q.select("*", similarity.query_head(c("q")).alias("head"), similarity.content_words(c("q")).alias("content"), similarity.product_words(c("q")).alias("product"), similarity.plain_tokens(c("query")).alias("plain"), text.stems(c("q")).alias("sq"))
     cat = F.replace(c("category"), F.lit("/"), F.lit(" "))
     i = t.items.select("*", text.tokens(c("title")).alias("tt"), text.tokens(cat).alias("ct"))
+    i = i.select("*", text.stems(c("tt")).alias("st"), text.stems(c("ct")).alias("sc"), similarity.brand_tokens(c("brand")).alias("bt"))
     return t.pairs.join(q, "term_id").join(i, "item_id")
 
 
@@ -115,7 +117,7 @@ def json_props(t):
   {JAC.format(stems_sql('q', 'a'), stems_sql('ct', 'b'))} AS stem_cat_jac, CAST(age_group NOT IN ('unknown', '') AND contains(query, age_group) AS DOUBLE) AS age_in_q, CAST(contains(title, q[1]) AS DOUBLE) AS first_tok_title, CAST(brand <> 'unknown' AND contains(brand, q[1]) AS DOUBLE) AS first_tok_brand FROM pp""")
 def lexical_similarity(t):
     p, q, tt, ct = per_pair(t), c("q"), c("tt"), c("ct")
-    sq, st, sc = text.stems(q), text.stems(tt), text.stems(ct)
+    sq, st, sc = c("sq"), c("st"), c("sc")
     first = F.try_element_at(q, F.lit(1))
     return p.select(
         "term_id", "item_id", similarity.jaccard(q, tt).alias("jaccard"), similarity.coverage(q, tt).alias("q_cov_title"), similarity.coverage(tt, q).alias("t_cov_query"), similarity.overlap(q, tt).alias("token_overlap"),
@@ -134,7 +136,7 @@ HEAD = """CASE WHEN h = '' THEN 0.0 WHEN list_contains({0}, h) THEN 1.0 WHEN lis
   SELECT term_id, item_id, CAST({HEAD.format('tt', 'ts')} AS DOUBLE) AS head_in_title, CAST({HEAD.format('ct', 'cs')} AS DOUBLE) AS head_in_cat, round(CAST(coalesce(wc, {COV.format('q', 'tt')}) AS DOUBLE), 9) AS weighted_q_cov FROM d LEFT JOIN m USING (term_id, item_id)""")
 def head_coverage(t):
     q, tt, ct = c("q"), c("tt"), c("ct")
-    return per_pair(t).select("term_id", "item_id", similarity.head_match(q, tt).alias("head_in_title"), similarity.head_match(q, ct).alias("head_in_cat"), F.round(similarity.weighted_coverage(q, tt), 9).alias("weighted_q_cov"))
+    return per_pair(t).select("term_id", "item_id", similarity.head_match(q, tt, word_stems=c("st"), head=c("head")).alias("head_in_title"), similarity.head_match(q, ct, word_stems=c("sc"), head=c("head")).alias("head_in_cat"), F.round(similarity.weighted_coverage(q, tt, word_stems=c("st"), content=c("content")), 9).alias("weighted_q_cov"))
 
 
 BT = "CASE WHEN brand IN ('', 'unknown') THEN [] ELSE list_distinct([w FOR w IN string_split_regex(trim(regexp_replace(brand, '[^a-z0-9çğıöşü\\s]', ' ', 'g')), '\\s+') IF length(w) > 1]) END"
@@ -147,7 +149,7 @@ TYPED = quoted([*L.GENDER_WORDS, *L.AGE_WORDS, *L.COLOURS, *L.MATERIAL_WORDS, *L
   SELECT term_id, item_id, ov AS brand_tok_ovlp, CAST(len([w FOR w IN q IF list_contains(bt, w)]) AS DOUBLE) / len(q) AS brand_weight, round(coalesce(pc, {COV.format('q', 'tt')}), 9) AS product_type_cover FROM d LEFT JOIN m USING (term_id, item_id)""")
 def brand_and_product(t):
     q, tt, b, qt = c("q"), c("tt"), c("brand"), c("query")
-    return per_pair(t).select("term_id", "item_id", similarity.brand_overlap(qt, b).alias("brand_tok_ovlp"), similarity.brand_weight(q, b).alias("brand_weight"), F.round(similarity.product_cover(qt, q, tt, b), 9).alias("product_type_cover"))
+    return per_pair(t).select("term_id", "item_id", similarity.brand_overlap(qt, b, c("bt"), c("plain")).alias("brand_tok_ovlp"), similarity.brand_weight(q, b, c("bt")).alias("brand_weight"), F.round(similarity.product_cover(qt, q, tt, b, word_stems=c("st"), product=c("product"), brand_words=c("bt"), plain=c("plain")), 9).alias("product_type_cover"))
 
 
 @query(f"""WITH {PAIR}, {KV}, v AS (SELECT item_id, len(e) > 0 AS filled, {tok("array_to_string([[y.v FOR y IN e IF y.k = k][-1] FOR k IN (SELECT list(k2 ORDER BY i2) FROM (SELECT k2, min(i2) AS i2 FROM (SELECT unnest([y.k FOR y IN e]) AS k2, unnest(range(len(e))) AS i2) GROUP BY k2))], ' ')")} AS av, {tok('attributes')} AS raw FROM kv)
