@@ -74,7 +74,10 @@ def gates(oof_f1: float, reference_f1: float, top_share: float, jump: float = 0.
 
 
 def distill(known: DataFrame, missing: DataFrame, features: list[str], label: str, group: str, least_f1: float = 0.88, write: bool = False) -> tuple[float, DataFrame | None]:
-    """(macro-F1 out of fold, verdicts for ``missing``): verdicts only if the score reaches the gate and ``write`` is set."""
+    """(macro-F1 out of fold, verdicts for ``missing``): verdicts only if the score reaches the gate and ``write`` is set.
+
+    One job trains; the verdicts are the mean of the folds' models at the best out-of-fold threshold.
+    """
     scored, models = oof_scores(known, features, label, group, folds=3, iterations=5)
     best = best_threshold(sweep(scored, label, "score", 20, 90, 100), last=True).first()
     if best is None or best.macro_f1 < least_f1 or not write:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import attrs, similarity, text
 from quarry.functions import lexicon as L
 from quarry.operators import dictionary, evaluate, features, model, negatives, parse, relational, weights
-from quarry.plans.models import DECORATED, TOP, decorated, source_sql, top, training
+from quarry.plans.models import DECORATED, TOP, TREE_FEATURES, decorated, source_sql, top, training
 from quarry.plans.registry import query, quoted, tok
 from quarry.plans.text_features import BRANDS, FOLD, KV, PAIR, QW, TFIDF, TYPED, _tfidf, BT, STEM, per_pair, stems_sql
 
@@ -153,11 +153,18 @@ def parser_validation(t):
     return j.groupBy(F.when(c("found").isNull(), "no_brand").when(c("_hit") == 1, "right").otherwise("wrong").alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query()
+AUC = """SELECT '{0}' AS feature, round(CAST(greatest(raw, 1 - raw) AS DOUBLE), 9) AS auc, raw < 0.5 AS flipped FROM (SELECT (sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (CAST(count(*) FILTER (label = 1) AS DOUBLE) * count(*) FILTER (label = 0)) AS raw
+  FROM (SELECT label, rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0 AS rk FROM tr))"""
+JAC = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_intersect({0}, {1})) AS DOUBLE) / len(list_distinct(list_concat({0}, {1}))) END"
+COV = "CASE WHEN len({0}) = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_intersect({0}, {1})) AS DOUBLE) / len(list_distinct({0})) END"
+RANKED = ["jaccard", "q_cov_title", "t_cov_query", "cat_overlap", "clue"]
+
+
+@query(f"""WITH {PAIR}, tr AS (SELECT CASE WHEN (term_id + item_id) % 3 = 0 THEN 1 ELSE 0 END AS label, {JAC.format('q', 'tt')} AS jaccard, {COV.format('q', 'tt')} AS q_cov_title, {COV.format('tt', 'q')} AS t_cov_query, {JAC.format('q', 'ct')} AS cat_overlap, CAST((term_id + item_id) % 3 + (item_id % 7) * CAST(0.18 AS DOUBLE) AS DOUBLE) AS clue FROM pp) {' UNION ALL '.join(AUC.format(f) for f in RANKED)}""")
 def feature_auc_table(t):
     d = training(t)
     out = None
-    for f in ("f1", "f2", "f3"):
+    for f in RANKED:
         part = evaluate.auc(d, "label", f).select(F.lit(f).alias("feature"), F.round("auc", 9).alias("auc"), "flipped")
         out = part if out is None else out.unionByName(part)
     return out
@@ -165,6 +172,6 @@ def feature_auc_table(t):
 
 @query()
 def feature_importance(t):
-    names = ["f1", "f2", "f3"]
-    _, models = model.oof_scores(training(t), names, "label", "term_id", folds=3, iterations=2, depth=3)
-    return t.spark.createDataFrame([(n, float(v)) for n, v in model.importances(models, names)], "feature string, importance double")
+    """Mean importances over the models of five folds, with the operator's own settings."""
+    _, models = model.oof_scores(training(t), TREE_FEATURES, "label", "term_id")
+    return t.spark.createDataFrame([(n, float(v)) for n, v in model.importances(models, TREE_FEATURES)], "feature string, importance double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,11 +34,12 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, c
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """(pair_id, verdict, reason, file, batch, line): rows of ``batch_N_result.csv`` files; broken and non-numeric rows are dropped.
 
-    ``line`` orders the rows of one file as they stand in it, as far as Spark reads a file in one piece; small label files are.
+    ``line`` orders the rows of one file as they stand in it, also where a file is split: the block's first byte, then the place in
+    the block, which one task reads in order.
     """
     df = spark.read.schema(RESULTS).option("header", True).option("mode", "DROPMALFORMED").csv(path)
     name = F.col("_metadata.file_name")
-    df = df.select("*", name.alias("file"), F.expr("try_cast(regexp_extract(_metadata.file_name, 'batch_([0-9]+)', 1) AS int)").alias("batch"), F.monotonically_increasing_id().alias("line"))
+    df = df.select("*", name.alias("file"), F.expr("try_cast(regexp_extract(_metadata.file_name, 'batch_([0-9]+)', 1) AS int)").alias("batch"), (F.col("_metadata.file_block_start").cast("decimal(38,0)") * F.lit(1 << 33) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("line"))
     df = df.withColumn("pair_id", F.expr("try_cast(pair_id AS bigint)")).withColumn("verdict", F.expr("try_cast(verdict AS int)"))
     return df.filter(F.col("pair_id").isNotNull() & F.col("verdict").isin(0, 1))
 
@@ -80,3 +82,58 @@ def cached(source: DataFrame, key: Column, path: str, make) -> DataFrame:
             raise
     make(source).write.mode("overwrite").parquet(where)
     return spark.read.parquet(where)
+
+
+def read_npy(spark: SparkSession, path: str | list[str], rows: int = 1000) -> DataFrame:
+    """(file, row, vec): the rows of two-dimensional ``.npy`` arrays of floats, numbered from 0 in each file.
+
+    One file is one record of at most 2 GB, Spark's limit for binary values; larger arrays come in parts. What is no such array raises an error.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        import io
+
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                m = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False)
+                if m.ndim != 2 or m.dtype.kind != "f":
+                    raise ValueError(f"{file}: not a two-dimensional array of floats")
+                for k in range(0, len(m), rows):
+                    part = np.ascontiguousarray(m[k : k + rows], np.float64)
+                    vec = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1] or 1)[: len(part) + 1], pa.int32()), pa.array(part.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(np.arange(k, k + len(part), dtype=np.int64)), vec], names=["file", "row", "vec"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    return files.mapInArrow(run, "file string, row long, vec array<double>")
+
+
+def aligned(vectors: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """(key, vec): the vectors under the ids of an id table (row, key) that was written in the same order."""
+    return vectors.join(ids.select("row", key), "row").select(key, "vec")
+
+
+def write_report(df: DataFrame, folder: str, name: str, stamp: str) -> str:
+    """A small result as one CSV under a name with a time stamp; returns its path. Earlier reports stay."""
+    path = f"{folder}/{name}_{stamp}.csv"
+    df.coalesce(1).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def report_lines(title: str, df: DataFrame, order: list[str]) -> DataFrame:
+    """(section, n, line): a small table as text lines ``column=value``, with a heading as line 0; for reports that people read."""
+    line = F.concat_ws("  ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in df.columns])
+    body = df.select(F.lit(title).alias("section"), F.row_number().over(W.orderBy(*order)).alias("n"), line.alias("line"))
+    return df.sparkSession.range(1).select(F.lit(title).alias("section"), F.lit(0).alias("n"), F.lit(f"== {title} ==").alias("line")).unionByName(body)
+
+
+def write_text(lines: DataFrame, path: str) -> None:
+    """Report lines in order, as one text file."""
+    lines.coalesce(1).sortWithinPartitions("section", "n").select("line").write.mode("overwrite").text(path)
+
+
+def clip(c: Column, low: float | None = None, high: float | None = None) -> Column:
+    """Values below ``low`` become low, above ``high`` high; null stays null."""
+    out = c if low is None else F.when(c < low, low).otherwise(c)
+    return out if high is None else F.when(c > high, high).otherwise(out)

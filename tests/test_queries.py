@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from quarry.plans import extras, models, relational, text_features  # noqa: F401
+from quarry.plans import extras, further, models, relational, text_features  # noqa: F401
 from quarry.plans.registry import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
