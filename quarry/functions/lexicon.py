@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 UNKNOWN = "unknown"
 
-# Fixed values.
+# Suffixes, words without content, typed words of queries and titles.
 SUFFIXES = (
     "ları leri lar ler nın nin nun nün ın in un ün daki deki taki teki dan den tan ten da de ta te ya ye yı yi yu yü la le ça çe ca ce "
     "lik lık luk lük cı ci cu cü çı çi çu çü sı si su sü sal sel li lı lu lü ki a e ı i u ü"
@@ -23,16 +23,19 @@ COLOURS = (
     "kırmızı mavi beyaz siyah sarı yeşil pembe mor gri turuncu lacivert bej kahverengi altın gold gümüş silver rose ekru krem bordo haki füme antrasit "
     "indigo petrol"
 ).split()
+# Names and families of colours.
 COLOUR_SYNONYM = {"gold": "altın", "silver": "gümüş", "rose": "pembe", "krem": "bej", "kiremit": "kırmızı"}
 COLOUR_FAMILY = {
     "antrasit": "gri", "füme": "gri", "platin": "gri", "koyu gri": "gri", "açık gri": "gri", "kurşun": "gri", "gri melanj": "gri",
     "lacivert": "mavi", "indigo": "mavi", "petrol": "mavi", "saks mavi": "mavi", "bebe mavisi": "mavi", "açık mavi": "mavi",
     "bordo": "kırmızı", "kiremit": "kırmızı", "altın": "sarı", "gold": "sarı", "gümüş": "metalik", "silver": "metalik", "krem": "bej", "kırık beyaz": "bej", "ekru": "bej",
 }
+# What a material word stands for.
 MATERIAL = {
     "pamuk": "pamuk", "pamuklu": "pamuk", "deri": "deri", "hakiki": "deri", "polyester": "polyester", "yün": "yün", "keten": "keten", "naylon": "naylon",
     "çelik": "çelik", "plastik": "plastik", "ahşap": "ahşap",
 }
+# The words by which the parser types a token.
 PARSE_COLOURS = (
     "beyaz siyah kırmızı mavi yeşil sarı turuncu mor pembe gri kahverengi bej lacivert krem altın gold gümüş silver rose ekru bordo antrasit füme haki "
     "kiremit şampanya mint"
@@ -43,6 +46,7 @@ PARSE_AGE = {"bebek": "bebek", "bebeği": "bebek", "bebeklere": "bebek", "çocuk
 #: (words that follow the number, unit that is emitted), in order of output.
 UNITS = (("ml", "ml"), ("lt", "lt"), ("ltr", "lt"), ("gr", "gr"), ("kg", "kg"), ("gb", "gb"), ("tb", "tb"), ("cm", "cm"), ("mm", "mm"), ("inç", "inç"), ("inch", "inç"))
 GARMENT_SIZES = "xs s m l xl xxl xxxl 2xl 3xl".split()
+# Attribute words of the list-based parser.
 LIST_COLOURS = (
     "kırmızı mavi beyaz siyah sarı yeşil pembe mor gri turuncu lacivert bej kahverengi altın gold gümüş silver rose ekru krem bordo haki füme karışık renkli "
     "şeffaf lila pudra antrasit vizon"
@@ -50,6 +54,7 @@ LIST_COLOURS = (
 LIST_SIZES = "xs s m l xl xxl 2xl 3xl 4xl 5xl 36 37 38 39 40 41 42 43 44 45 46 47 48 small medium large onesize standart".split()
 LIST_MATERIALS = "deri hakiki süet kumaş pamuk keten polyester viskon ipek kadife kaşmir yün akrilik naylon polar şifon saten dantel örgü".split()
 LIST_STYLES = "uzun kısa kollu kolsuz yüksek alçak beli dar bol slim klasik spor casual elegant vintage retro modern basic oversize".split()
+# The lists on ASCII-folded text.
 FOLDED_STOP = "ve ile icin bu bir de da den dan en cok az gibi olan set adet li lu model".split()
 FOLDED_GENDER = "kadin bayan erkek kiz unisex".split()
 FOLDED_AGE = "bebek cocuk yetiskin genc".split()
@@ -58,6 +63,7 @@ FOLDED_COLOURS = (
     "indigo petrol"
 ).split()
 FOLDED_MATERIALS = "pamuk pamuklu deri polyester yun keten naylon celik plastik ahsap akrilik viskon modal bambu".split()
+# Words of accessories.
 ACCESSORY_WORDS = (
     "kılıf kapak koruyucu ekran aksesuar şarj kablo tutucu stand uyumlu için compatible cover case yedek parça filtre toner mürekkep kartuş"
 ).split()

@@ -126,6 +126,20 @@ def numbered_pool(pool: DataFrame, keys: list[str], order: str) -> DataFrame:
     return own.join(counts, [*keys, "_b"]).withColumn("position", F.col("_start") + F.col("_r")).drop("_b", "_r", "_start")
 
 
+def contained(texts: DataFrame, needles: DataFrame, key: str, text: str, needle: str, prefix: int = 3) -> DataFrame:
+    """(key, needle): which needles each text contains, as an equality join.
+
+    A needle is keyed by its first ``prefix`` characters (all, if it has fewer); a text offers the beginnings at each of its positions.
+    What meets is compared in full. Nothing is broadcast and no text is tried against every needle. Null and empty needles are in no text.
+    """
+    t, n = F.col(text), F.col(needle)
+    keyed = needles.select(needle).filter(F.length(n) > 0).distinct().withColumn("_k", F.substring(n, 1, prefix))
+    starts = texts.select(key, text, F.explode(F.sequence(F.lit(1), F.length(t))).alias("_p")).filter(F.length(t) > 0)
+    rest = starts.select(key, F.substring(t, F.col("_p"), F.length(t)).alias("_rest"))
+    offers = rest.select(key, "_rest", F.explode(F.array_distinct(F.array(*[F.substring("_rest", 1, i) for i in range(1, prefix + 1)]))).alias("_k"))
+    return offers.join(keyed, "_k").filter(F.startswith("_rest", needle)).select(key, needle).distinct()
+
+
 def consume(pool: DataFrame, takers: DataFrame, group: str, each: int, pool_order: list[Column], taker_order: list[Column]) -> DataFrame:
     """Within a group, the first taker gets the first ``each`` rows of the pool, the next taker the next ones."""
     p = pool.withColumn("_slot", F.row_number().over(W.partitionBy(group).orderBy(*pool_order)) - 1)

@@ -81,7 +81,11 @@ def transfer(neighbours: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
 
 
 def shared_items(pairs: DataFrame) -> DataFrame:
-    """(term_id, other, n): terms that have n items in common."""
+    """(term_id, other, n): terms that have n items in common.
+
+    An item of m terms gives m x (m - 1) pairs, as each of them is a result; filter on term_id to ask for some terms, the filter reaches
+    the join's input. Counts are partial before the shuffle, and Spark splits a popular item, as the join is skewed.
+    """
     p = pairs.select("term_id", "item_id").distinct()
     return p.join(p.withColumnRenamed("term_id", "other"), "item_id").filter("term_id <> other").groupBy("term_id", "other").agg(F.count("*").alias("n"))
 

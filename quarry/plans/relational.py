@@ -61,7 +61,7 @@ def shared_item_terms(t):
 @query("SELECT b.brand, count(*) AS n FROM terms JOIN (SELECT DISTINCT brand FROM items WHERE brand <> 'unknown') b ON contains(query, b.brand) GROUP BY 1")
 def substring_theta_join(t):
     brands = t.items.select("brand").filter("brand <> 'unknown'").distinct()
-    return t.terms.join(brands, F.contains(F.col("query"), F.col("brand"))).groupBy("brand").agg(F.count("*").alias("n"))
+    return relational.contained(t.terms, brands, "term_id", "query", "brand").groupBy("brand").agg(F.count("*").alias("n"))
 
 
 @query("SELECT (SELECT count(*) FROM items WHERE item_id IS NULL) AS null_ids, (SELECT count(DISTINCT term_id) FROM pairs WHERE term_id % 2 = 0 AND term_id IN (SELECT term_id FROM pairs WHERE term_id % 2 = 1)) AS leaked")

@@ -23,11 +23,6 @@ def test_negatives_are_new_and_bounded(spark):
     assert n.exceptAll(again).isEmpty() and again.exceptAll(n).isEmpty()
 
 
-def test_positions_are_gapless(spark):
-    df = negatives._numbered(spark.range(1000).withColumnRenamed("id", "neg"))
-    assert sorted(r.position for r in df.collect()) == list(range(1000))
-
-
 def test_sweep_equals_brute_force(spark):
     rng = random.Random(1)
     rows = [(rng.randint(0, 1), rng.random()) for _ in range(500)]
