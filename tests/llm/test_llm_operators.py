@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql.classic.dataframe import DataFrame
@@ -537,3 +538,54 @@ def test_held_out_rule(spark):
 
     got = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+# --- brute force of scores, cuts and stages -----------------------------------------------------------------------------
+
+
+def test_machine_sum_is_weights_and_pairs():
+    rng = np.random.default_rng(3)
+    m = toxicity.fit_machine(*pair_rows(rng, 800))
+    for ids in ([1, 2, 11, 12], [1], [], [2, 30, 35], [1, 2]):
+        at = [int(m.place[i]) for i in ids if m.place[i]]
+        plain = m.bias + sum(float(m.weight[i]) for i in at) + sum(float(m.factor[i] @ m.factor[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+        assert m.sum(np.array(ids, np.int64)) == pytest.approx(plain, abs=1e-3)
+        assert m.score(np.array(ids, np.int64)) == pytest.approx(1 / (1 + np.exp(-(m.scale * plain + m.shift))), abs=1e-3)
+
+
+def test_scores_of_the_query_are_those_of_the_texts(spark):
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    terms = toxicity.Terms()
+    for r in toxicity.score(docs, machine).collect():
+        words = {w.strip(toxicity.STRIP) for w in (texts[r.doc_id] or "").lower().split()} - {""}
+        plain = {f"w{w}" for w in words} | {f"b{n}{w[:n]}" for w in words for n in (4, 5, 6) if len(w) >= n}
+        ids = {xxhash.xxh64_intdigest(t.encode()) % toxicity.SPACE for t in plain}
+        assert set(terms(texts[r.doc_id]).tolist()) == ids
+        assert r.score == pytest.approx(machine.score(np.array(sorted(ids), np.int64)), abs=1e-6) and r.predicted == int(r.score >= 0.3)
+
+
+def test_labelling_of_pages_is_the_cheapest():
+    """The cut of whole pages against every labelling, with the costs computed anew."""
+    w, tried = np.array(html_text.weights()), 0
+    for page in [*html_text.training_pages(60, seed=7), PAGE]:
+        blocks = html_text.blocks_of(page)
+        if not 1 < len(blocks) <= 11:
+            continue
+        z = np.clip(np.array([html_text.features(b) for b in blocks]) @ w, -20, 20)
+        edges = [(i - 1, i, html_text.SEQUENCE) for i in range(1, len(blocks))]
+        for i, b in enumerate(blocks):
+            for up, share in ((b.node.parent, 1.0), (b.node.parent.parent if b.node.parent else None, 0.5)):
+                near = [j for j in range(i) if up is not None and any(n is up for n in (blocks[j].node.parent, blocks[j].node.parent.parent if blocks[j].node.parent else None))]
+                if near and near[-1] != i - 1:
+                    edges.append((near[-1], i, html_text.PROXIMITY * share))
+
+        def cost(keep):
+            own = sum(np.log1p(np.exp(-z[i])) if k else np.log1p(np.exp(z[i])) for i, k in enumerate(keep))  # noqa: B023
+            return own + sum(c for i, j, c in edges if keep[i] != keep[j])  # noqa: B023
+
+        best = min(cost([bool(m >> i & 1) for i in range(len(blocks))]) for m in range(1 << len(blocks)))
+        assert cost(html_text.label(blocks, tuple(w))) == pytest.approx(best)
+        tried += 1
+    assert tried >= 5

@@ -1,5 +1,7 @@
 """Stages of the pipeline: on odd documents, and against the operators they apply."""
 
+import re
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +68,34 @@ def test_run_encodes_what_is_left(spark):
     plain = {r.doc_id: r for r in bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
     assert 0 < len(out) <= 3 * docs.count()
     assert all(r == plain[r.doc_id] for r in out)
+
+
+def test_mix_of_the_stage_against_its_definition(spark):
+    """Each source's words after the stage come near the target of capped water-filling, computed by handing out again and again."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    rows = [(r.source, size(r.text)) for r in docs.collect()]
+    have: dict = {}
+    for s, n in rows:
+        have[s] = have.get(s, 0) + n
+    order = sorted((s for s in have if s is not None)) + [s for s in have if s is None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, left, open_ = {}, float(sum(have.values())), dict(weight)
+    while True:
+        total = sum(open_.values())
+        over = [s for s in open_ if left * open_[s] / total > 3 * have[s] + 1e-9]
+        if not over:
+            target |= {s: left * w / total for s, w in open_.items()}
+            break
+        for s in over:
+            target[s] = 3.0 * have[s]
+            del open_[s]
+        left = sum(have.values()) - sum(target.values())
+    out = corpus_pipeline.mix_sources(spark, docs, DIR)
+    taken: dict = {}
+    times: dict = {}
+    for r in out.collect():
+        taken[r.source] = taken.get(r.source, 0) + size(r.text)
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    largest = max(n for _, n in rows)
+    assert all(abs(taken.get(s, 0) - t) <= largest for s, t in target.items()) and max(times.values()) <= 3
