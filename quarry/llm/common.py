@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,30 @@ from pyspark.sql import functions as F
 if TYPE_CHECKING:
     import pyarrow as pa
 
-#: Rows that a Python worker takes up at a time. Texts can be long; Spark bounds the bytes of its own Arrow batches.
+#: Rows that a Python worker takes up at a time, and of an Arrow batch on its way there: texts can be long.
 ARROW_ROWS = 500
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def tune(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ARROW_ROWS; never raise them.
+
+    A query whose last step runs in Python is executed by its caller, under the caller's setting, so it asks for this; operators
+    only need it for their peak memory, not for their results.
+    """
+    if not 0 < int(spark.conf.get(BATCH)) <= ARROW_ROWS:
+        spark.conf.set(BATCH, str(ARROW_ROWS))
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """``tune`` for the jobs that run inside; the session's setting comes back after them."""
+    before = spark.conf.get(BATCH)
+    tune(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
@@ -48,7 +71,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written = path
     return out

@@ -43,7 +43,7 @@ GROWTH = 1.5
 SKETCH = 8
 CACHE = 80_000
 #: Sets of ids up to this many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 #: Drawn hubs of a large segment in the first round after the star; MORE_HUBS times as many in each further round.
 HUBS, MORE_HUBS = 16, 64
 #: A signature that a task has met so often is split from then on, into so many parts; COUNTERS count signatures by their low bits.

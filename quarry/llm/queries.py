@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import ann, bpe, gif, html_text, licences, mixing, ngram_join, quality, sharding, toxicity
-from quarry.llm.common import table
+from quarry.llm.common import table, tune
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
@@ -20,19 +21,23 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     return gif.store_texts(table(spark, sf_dir, "documents"))
 
 
@@ -45,10 +50,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 

@@ -161,6 +161,8 @@ def shard_rule(rows: DataFrame, shards: int) -> tuple[list[int], list[int]]:
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every document into one of ``shards`` shards of near equal bytes; equal texts stay together.
 
+    The order of the groups: those that exceed an even share of what the others leave come first, the largest first, one to a shard; the others
+    follow by a 64-bit hash of their text, and the smallest feasible capacity cuts them.
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (0, 1, ... in each shard) and grown_shard (null).
     Null and empty texts are one group of size 1 a row. Repeated rows all get slots of their own; an empty table gives
     an empty result. Only the named columns are read, so other columns can have any names.

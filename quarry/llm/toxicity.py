@@ -114,10 +114,15 @@ class _Trainer:
     def __init__(self, rows: list[np.ndarray], y: np.ndarray, terms: int, seed: int):
         self.rows, self.y, self.rng = rows, y, np.random.default_rng(seed)
         self.w, self.gw = np.zeros(terms), np.full(terms, 1e-2)
-        self.v, self.gv, self.used = np.zeros((terms, FACTORS)), np.full((terms, FACTORS), 1e-2), np.zeros(terms, bool)
+        self.v, self.gv, self.used = None, None, np.zeros(terms, bool)
         ones = y.mean() if len(y) else 0.5
         self.bias = float(np.log((ones + 1e-3) / (1 - ones + 1e-3)))
 
+    def pair(self, v: np.ndarray) -> None:
+        """Train factors too, from ``v`` on."""
+        self.v, self.gv, self.used = v, np.full(v.shape, 1e-2), (v != 0).any(1)
+        self.gw[self.used] = 1e-2
+
     def epoch(self, rate: float, sparse: float, batch: int = 64, ridge: float = 1e-3) -> None:
         order, paired = self.rng.permutation(len(self.rows)), self.used.any()
         for k in range(0, len(order), batch):
@@ -150,7 +155,7 @@ class _Trainer:
             self.epoch(rate * (1 - e / epochs), sparse)
 
 
-def interactions(rows: list[np.ndarray], residual: np.ndarray, variance: np.ndarray, among: np.ndarray, block: int = 1024, least: int = 5):
+def interactions(rows: list[np.ndarray], residual: np.ndarray, variance: np.ndarray, among: np.ndarray, block: int = 256, least: int = 5):
     """(a, b, z) of the pairs of terms whose rows are labelled one more, or less, often than the weights say.
 
     z is the summed residual of the rows that hold both terms over its standard deviation, less what the largest of as many
@@ -230,17 +235,18 @@ def fit_machine(terms: list[np.ndarray], y: np.ndarray, epochs: int = 10, rate:
     if learnable:
         model.run(epochs, rate, sparse)
     if learnable and held and factor_epochs:
-        out, best = _Rows([rows[i] for i in held]), (model.w.copy(), model.v.copy(), model.bias)
+        out, best = _Rows([rows[i] for i in held]), (model.w.copy(), None, model.bias)
         least = _loss(model.bias + out.linear(model.w), y[held]) - 1e-4
         screen = _Trainer(mine, want, n, seed)
         screen.run(2 * epochs, 2 / 3 * rate, 2 * sparse)
         all_ = _Rows(mine)
         p = _sigmoid(screen.bias + all_.linear(screen.w))
         often = np.bincount(all_.ids, minlength=n) >= 8
-        a, b, z = interactions(mine, want - p, np.maximum(p * (1 - p), (want - p) ** 2 / 3), np.flatnonzero((screen.w != 0) & often))
+        among = np.flatnonzero((screen.w != 0) & often)
+        del screen
+        a, b, z = interactions(mine, want - p, np.maximum(p * (1 - p), (want - p) ** 2 / 3), among)
         if len(a):
-            model.v = spectral(a, b, z, n, model.rng)
-            model.used, model.gw = (model.v != 0).any(1), np.where((model.v != 0).any(1), 1e-2, model.gw)
+            model.pair(spectral(a, b, z, n, model.rng))
             linear, pairs = model.bias + all_.linear(model.w), all_.pairs(model.v, model.used)
             model.v *= np.sqrt(min(np.geomspace(1e-3, 10, 25), key=lambda c: _loss(linear + c * pairs, want)))
             for e in range(factor_epochs):
@@ -248,7 +254,8 @@ def fit_machine(terms: list[np.ndarray], y: np.ndarray, epochs: int = 10, rate:
                 if (now := _loss(model.bias + out.linear(model.w) + out.pairs(model.v, model.used), y[held])) < least:
                     least, best = now, (model.w.copy(), model.v.copy(), model.bias)
         model.w, model.v, model.bias = best
-    machine = Machine(place, model.w.astype(np.float32), model.v.astype(np.float32), model.bias)
+    factor = np.zeros((n, FACTORS), np.float32) if model.v is None else model.v.astype(np.float32)
+    machine = Machine(place, model.w.astype(np.float32), factor, model.bias)
     if held and 0 < y[held].mean() < 1:
         share = base if base and 0 < base < 1 else float(y[held].mean())
         machine.scale, machine.shift = calibrated(np.array([machine.sum(terms[i]) for i in held]), y[held], share)
