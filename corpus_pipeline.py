@@ -7,18 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, mixing, ngram_join, quality, toxicity
-from quarry.llm.common import materialize, release, table
+from quarry.llm.common import materialize, release, table, tune
 from quarry.llm.labelled import score_column
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents whose toxicity reaches the threshold go. The model learns from the labelled documents."""
+    tune(spark)
     machine = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return docs.filter(score_column(machine, F.col("text")) < toxicity.THRESHOLD)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents whose quality is below the threshold go."""
+    tune(spark)
     voters = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return docs.filter(score_column(voters, F.col("text")) >= quality.THRESHOLD)
 
@@ -35,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: token counts and digests of what is left; a document that the mix repeats has a row each time."""
+    tune(spark)
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
