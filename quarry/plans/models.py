@@ -103,7 +103,7 @@ HEX = "CAST('0x' || substr(md5('42|' || {0}), 1, 8) AS BIGINT)"
 
 def decorated(t):
     i = t.items.select("item_id", F.get(F.split("category", "/"), 0).alias("main"), attrs.level(c("category"), 1).alias("sub"), "brand", "gender", "age_group", signals.colour_family(signals.colour_name(attrs.value_of(c("attributes"), "renk"))).alias("colour"))
-    return t.pairs.join(t.terms, "term_id").join(i, "item_id"), i
+    return t.pairs.join(negatives.typed(t.terms), "term_id").join(i, "item_id"), i
 
 
 def source_sql(name: str, pool: str = "", key: str = "", when: str = "TRUE", among: str = "TRUE", block: str = "''", own: str = "NULL", tries: int = 40, most: int = 1, other: tuple[str, str] | None = None, of: str = "dp") -> str:
