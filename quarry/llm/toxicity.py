@@ -95,8 +95,8 @@ class _Rows:
     """Rows of places as one array, and the sums of a machine over them."""
 
     def __init__(self, rows: list[np.ndarray]):
-        self.n, self.ids = len(rows), np.concatenate([np.zeros(0, np.int64), *rows])
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.n, self.ids = len(rows), np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32, copy=False)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
 
     def linear(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.ids], self.n)
@@ -163,13 +163,10 @@ def interactions(rows: list[np.ndarray], residual: np.ndarray, variance: np.ndar
     z is the summed residual of the rows that hold both terms over its standard deviation, less what the largest of as many
     pairs of noise would reach. Blocks of terms are multiplied with each other, so no pair is left out and memory is bounded.
     """
-    part, m = _Rows(rows), len(among)
-    at = np.full(int(among.max(initial=0)) + 1, -1)
+    part, m = _Rows([r[np.isin(r, among, assume_unique=True)] for r in rows]), len(among)
+    at = np.zeros(int(among.max(initial=0)) + 1, np.int32)
     at[among] = np.arange(m)
-    ids, row = part.ids, part.row
-    inside = ids < len(at)
-    ids, row = at[ids[inside]], row[inside]
-    ids, row = ids[ids >= 0], row[ids >= 0]
+    ids, row = at[part.ids], part.row
     by = np.argsort(ids, kind="stable")
     ids, row = ids[by], row[by]
     edge = np.searchsorted(ids, np.arange(0, m + block, block))
