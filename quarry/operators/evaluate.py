@@ -98,9 +98,9 @@ def coverage_at_k(ranked: DataFrame, truth: DataFrame, ks: list[int], fixed: int
     return g.select("*", (F.col("hits") / F.col("total_true")).alias("pair_coverage"), F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("oracle_f1")).drop("_tp")
 
 
-def flips(a: DataFrame, b: DataFrame, key: str, by: Column, name: str) -> DataFrame:
+def flips(a: DataFrame, b: DataFrame, keys: list[str], by: Column, name: str) -> DataFrame:
     """By group: predictions that went 0 -> 1, 1 -> 0, both, and the net change."""
-    j = a.select(key, F.col("pred").alias("_a"), by.alias(name)).join(b.select(key, F.col("pred").alias("_b")), key)
+    j = a.select(*keys, F.col("pred").alias("_a"), by.alias(name)).join(b.select(*keys, F.col("pred").alias("_b")), keys)
     up, down = F.count_if((F.col("_a") == 0) & (F.col("_b") == 1)), F.count_if((F.col("_a") == 1) & (F.col("_b") == 0))
     return j.groupBy(name).agg(up.alias("up"), down.alias("down"), (up + down).alias("flips"), (up - down).alias("net"), F.count("*").alias("n"))
 
