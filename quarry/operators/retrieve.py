@@ -147,12 +147,12 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def mean_of(scores: list[DataFrame], key: str, weights: list[float] | None = None) -> DataFrame:
-    """Weighted mean of score tables (key, score), joined by key."""
+def mean_of(scores: list[DataFrame], keys: list[str], weights: list[float] | None = None) -> DataFrame:
+    """Weighted mean of score tables (keys, score), joined by their keys."""
     weights = weights or [1.0] * len(scores)
     out, total = None, F.lit(0.0)
     for i, (s, w) in enumerate(zip(scores, weights, strict=True)):
-        part = s.select(key, F.col("score").alias(f"_s{i}"))
-        out = part if out is None else out.join(part, key)
+        part = s.select(*keys, F.col("score").alias(f"_s{i}"))
+        out = part if out is None else out.join(part, keys)
         total = total + F.col(f"_s{i}") * w
-    return out.select(key, (total / sum(weights)).alias("score"))
+    return out.select(*keys, (total / sum(weights)).alias("score"))

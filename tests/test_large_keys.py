@@ -21,7 +21,7 @@ def large(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["flip_analysis"])
+@pytest.mark.parametrize("name", ["flip_analysis", "probability_blend"])
 def test_oracle_on_large_keys(spark, large, name):
     duck = duckdb.connect()
     for t in ("part", "lineitem", "customer", "orders"):
