@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import attrs, similarity, text
 from quarry.functions import lexicon as L
-from quarry.operators import dictionary, evaluate, features, model, negatives, parse, relational, weights
+from quarry.operators import dictionary, evaluate, features, model, nearest, negatives, parse, relational, weights
 from quarry.plans.models import DECORATED, TOP, TREE_FEATURES, decorated, source_sql, top, training
 from quarry.plans.registry import query, quoted, tok
 from quarry.plans.text_features import BRANDS, FOLD, KV, PAIR, QW, TFIDF, TYPED, _tfidf, BT, STEM, per_pair, stems_sql
@@ -68,9 +68,9 @@ CHARS = "unnest(list_concat([x[i:i + 2] FOR i IN range(1, greatest(length(x) - 2
   w0 AS (SELECT term_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM terms)) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN dfx USING (term)), w1 AS (SELECT term_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY term_id)) AS w FROM w0),
   s AS (SELECT a.term_id, b.term_id AS other, round(sum(a.w * b.w), 6) AS score FROM w1 a JOIN w1 b ON a.term = b.term WHERE a.term_id % 20 = 0 AND a.term_id <> b.term_id GROUP BY 1, 2) SELECT term_id, other, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, other) AS INT) AS rank FROM s WHERE score >= 0.05 QUALIFY rank <= 10""")
 def char_tfidf_neighbours(t):
-    texts = t.terms.select("term_id", text.char_ngrams(text.tokens(c("query"))).alias("g"))
-    w = weights.tfidf(texts, texts, "term_id", c("g"))
-    s = weights.cosine(w.filter("term_id % 20 = 0"), w.withColumnRenamed("term_id", "other"), "term_id", "other").filter("term_id <> other").withColumn("score", F.round("score", 6)).filter("score >= 0.05")
+    grams = text.char_ngrams(text.tokens(c("query")))
+    near = nearest.nearest(t.terms.filter("term_id % 20 = 0"), t.terms.withColumnRenamed("term_id", "other"), "term_id", "other", grams, grams, 11)  # itself may be one of them
+    s = near.filter("term_id <> other AND score >= 0.05").drop("rank")
     return relational.top_k(s, "term_id", 10, c("score").desc(), c("other")).select("term_id", "other", "score", "rank")
 
 
