@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions import attrs, similarity, text
 from quarry.functions import lexicon as L
-from quarry.operators import dictionary, evaluate, features, model, nearest, negatives, parse, relational, weights
+from quarry.operators import dictionary, evaluate, features, model, nearest, negatives, parse, relational
 from quarry.plans.models import DECORATED, TOP, TREE_FEATURES, decorated, source_sql, top, training
 from quarry.plans.registry import query, quoted, tok
-from quarry.plans.text_features import BRANDS, FOLD, KV, PAIR, QW, TFIDF, TYPED, _tfidf, BT, STEM, per_pair, stems_sql
+from quarry.plans.text_features import BRANDS, FOLD, KV, PAIR, QW, TFIDF, TYPED, BT, STEM, nearest_titles, per_pair, stems_sql
 
 c = F.col
 
@@ -113,9 +113,7 @@ def half_random_negatives(t):
 
 @query(f"WITH {TFIDF}, s AS (SELECT term_id, item_id, round(sum(qw.w * iw.w), 6) AS score FROM qw JOIN iw USING (term) WHERE term_id % 20 = 0 GROUP BY 1, 2 HAVING round(sum(qw.w * iw.w), 6) > 0.01), a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) <= 60) SELECT term_id, item_id, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) AS INT) AS rank FROM a WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.term_id = a.term_id AND p.item_id = a.item_id) QUALIFY rank <= 20")
 def tfidf_mined_negatives(t):
-    iw, qw = _tfidf(t)
-    s = weights.cosine(qw.filter("term_id % 20 = 0"), iw, "term_id", "item_id").withColumn("score", F.round("score", 6))
-    return negatives.mined_by_similarity(s, t.pairs, 60, 20, 0.01).select("term_id", "item_id", "score", "rank")
+    return negatives.mined_by_similarity(nearest_titles(t, 60), t.pairs, 60, 20, 0.01).select("term_id", "item_id", "score", "rank")
 
 
 @query(f"WITH {PAIR} SELECT term_id, item_id FROM pp WHERE (contains(query, 'erkek') AND gender = 'kadın') OR (contains(query, 'kadın') AND gender = 'erkek') OR len(list_intersect(q, list_concat(tt, ct))) = 0")
