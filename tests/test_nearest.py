@@ -44,7 +44,7 @@ def test_nearest_against_all_cosines(spark, monkeypatch, small):
     assert {(x.q, x.rank): (x.i, round(x.score, 6)) for x in got.collect()} == expected(asks, texts, 4)
 
 
-@pytest.mark.parametrize("name", ["char_tfidf_neighbours", "tfidf_retrieval_topk", "tfidf_mined_negatives", "rerank_top14", "decorated_candidates"])
+@pytest.mark.parametrize("name", ["char_tfidf_neighbours", "tfidf_retrieval_topk", "tfidf_mined_negatives", "rerank_top14", "decorated_candidates", "rerank_report"])
 def test_no_join_of_all_pairs_that_share_a_term(spark, name):
     """The scores come from blocked products; a sum over a join by term would shuffle a row for each shared term of each pair."""
     plan = QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
