@@ -23,6 +23,7 @@ def word_overlap_baseline(t):
     items = documents_of_items(t).select("item_id", F.array_distinct(text.word_tokens(F.col("doc"))).alias("d"))
     terms = t.terms.select("term_id", F.array_distinct(text.word_tokens(F.col("query"))).alias("q"))
     shared = overlap(F.col("q"), F.col("d"))
+    terms, items = terms.hint("merge"), items.hint("merge")  # lists of words are many times their files, from whose size Spark would choose to broadcast them
     return t.pairs.join(terms, "term_id").join(items, "item_id").select("term_id", "item_id", shared.alias("shared"), (shared >= 1).cast("int").alias("prediction"))
 
 
