@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.evaluate import best_threshold, sweep
 from quarry.operators.relational import draw
+from quarry.sources import io
 
 
 def fold_of(key: str, folds: int = 5, seed: int = 42) -> Column:
@@ -39,9 +40,11 @@ def oof_scores(
 ) -> tuple[DataFrame, list]:
     """(df with ``fold`` and ``score``, models): each row scored by the trees that never saw its group.
 
-    One fold of the training rows serves for early stopping, if there are more than two folds. Features are averaged over models by ``importances``.
+    One fold of the training rows serves for early stopping, if there are more than two folds. The rows are worked out once and written, as every
+    fold reads them several times. Features are averaged over models by ``importances``.
     """
     cats = categorical or []
+    df = io.written(df, "oof")
     data = class_weight(df, label).withColumn("fold", fold_of(group, folds, seed)).withColumn("label", F.col(label).cast("double"))
     if cats:
         data = StringIndexer(inputCols=cats, outputCols=[f"{c}_ix" for c in cats], stringOrderType="alphabetAsc", handleInvalid="keep").fit(data).transform(data)
