@@ -14,9 +14,17 @@ def _any(words: Column, *some: str) -> Column:
     return F.arrays_overlap(words, F.array(*[F.lit(s) for s in some]))
 
 
+def named(text: Column, *words: str) -> Column:
+    """Whether one of the words is in the text as a whole word. The dear pattern is only tried where the letters are there."""
+    there = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        there = there | F.contains(text, F.lit(w))
+    return there & text.rlike(whole_word(*words))
+
+
 def gender_cross(query_text: Column, gender: Column) -> Column:
     """Whole words in the query; a girl's item counts as a woman's."""
-    q_w, q_m = query_text.rlike(whole_word("kadın", "bayan")), query_text.rlike(whole_word("erkek"))
+    q_w, q_m = named(query_text, "kadın", "bayan"), named(query_text, "erkek")
     i_w, i_m = gender.isin("kadın", "bayan", "kız"), gender == "erkek"
     return F.when((q_w & i_m) | (q_m & i_w), -1.0).when((q_w & i_w) | (q_m & i_m), 1.0).otherwise(0.0)
 
@@ -29,7 +37,7 @@ def gender_flags(query_text: Column, gender: Column) -> tuple[Column, Column]:
 
 
 def age_cross(query_text: Column, age: Column) -> Column:
-    baby, child, adult = query_text.rlike(whole_word("bebek", "bebekler")), query_text.rlike(whole_word("çocuk", "çocuklar")), query_text.rlike(whole_word("yetişkin"))
+    baby, child, adult = named(query_text, "bebek", "bebekler"), named(query_text, "çocuk", "çocuklar"), named(query_text, "yetişkin")
     a_baby, a_child, a_adult = age.isin("bebek", "bebek & çocuk"), age.isin("çocuk", "bebek & çocuk", "genç"), age == "yetişkin"
     return (
         F.when(age.isNull() | age.isin(UNKNOWN, ""), 0.0)

@@ -1,6 +1,7 @@
 """Joins whose sides are larger than the files they come from."""
 
-from quarry.plans import relational  # noqa: F401
+from quarry.plans import models, relational  # noqa: F401
+from quarry.plans.adapters import Tables
 from quarry.plans.registry import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -10,3 +11,11 @@ def test_lists_of_words_are_not_broadcast(spark):
     """Both text sides ask for a merge join, however small their files are."""
     plan = QUERIES["word_overlap_baseline"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=merge") == 2
+
+
+def test_training_pairs_travel_with_the_text_of_their_query_only(spark):
+    """The lists of words of a query are made above the joins, not shuffled with every pair."""
+    plan = models.training(Tables(spark, DIR))._jdf.queryExecution().optimizedPlan().toString()
+    first = next(k for k, line in enumerate(plan.split("\n")) if "Join Inner" in line)
+    assert any(" AS head#" in line for line in plan.split("\n")[:first])
+    assert plan.count("strategy=merge") == 2
