@@ -49,6 +49,23 @@ def product_words(query: Column, pack: Pack = TURKISH) -> Column:
     return stemmed(F.filter(without(query, typed), lambda w: F.length(w) > 1))
 
 
+def content_of(words: Column, pack: Pack = TURKISH) -> Column:
+    """``content_words`` of words that come with their stems, (w, s)."""
+    return F.filter(words, lambda x: ~x["w"].isin(*pack.stop) & (F.length(x["w"]) > 1))
+
+
+def product_of(words: Column, pack: Pack = TURKISH) -> Column:
+    """``product_words`` of words that come with their stems, (w, s)."""
+    typed = [*pack.gender, *pack.age, *pack.colours, *pack.materials, *pack.stop]
+    return F.filter(words, lambda x: ~x["w"].isin(*typed) & (F.length(x["w"]) > 1))
+
+
+def head_of(words: Column, pack: Pack = TURKISH) -> Column:
+    """``query_head`` of words that come with their stems, (w, s)."""
+    last = lambda ws: F.try_element_at(ws, F.lit(-1))
+    return F.coalesce(last(content_of(words, pack)), last(words), F.struct(F.lit("").alias("w"), F.lit("").alias("s")))
+
+
 def word_match(x: Column, words: Column, word_stems: Column) -> Column:
     """A word (w, s) equals one of ``words``, or their stems agree, or one starts with the first five letters of its stem."""
     return F.array_contains(words, x["w"]) | F.array_contains(word_stems, x["s"]) | ((F.length(x["s"]) >= 5) & F.exists(words, lambda y: F.startswith(y, F.substring(x["s"], 1, 5))))

@@ -1,6 +1,8 @@
 """Joins whose sides are larger than the files they come from."""
 
-from quarry.plans import models, relational  # noqa: F401
+from pyspark.sql import functions as F
+
+from quarry.plans import models, relational, text_features  # noqa: F401
 from quarry.plans.adapters import Tables
 from quarry.plans.registry import QUERIES
 
@@ -19,3 +21,17 @@ def test_training_pairs_travel_with_the_text_of_their_query_only(spark):
     first = next(k for k, line in enumerate(plan.split("\n")) if "Join Inner" in line)
     assert any(" AS head#" in line for line in plan.split("\n")[:first])
     assert plan.count("strategy=merge") == 2
+
+
+def test_lean_pairs_are_those_of_per_pair(spark):
+    """Words, stems, heads, content, product and plain words split from lines are those made of the query's text."""
+    names = ["q", "sq", "plain", "head", "content", "product"]
+    own = Tables(spark, DIR)
+
+    class T:
+        pairs, items = own.pairs, own.items
+        terms = own.terms.withColumn("query", F.expr("CASE term_id % 5 WHEN 0 THEN '' WHEN 1 THEN concat('ve, ', query, '  (x)!') WHEN 2 THEN 've' WHEN 3 THEN concat(query, ' ile için') ELSE query END"))
+
+    one = lambda df: df.select("term_id", "item_id", *[F.to_json(F.struct(F.col(n).alias("x"))).alias(n) for n in names])
+    a, b = one(text_features.lean_pairs(T)), one(text_features.per_pair(T))
+    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
