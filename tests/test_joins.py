@@ -1,8 +1,9 @@
 """Joins whose sides are larger than the files they come from."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.plans import models, relational, text_features  # noqa: F401
+from quarry.plans import further, models, relational, text_features  # noqa: F401
 from quarry.plans.adapters import Tables
 from quarry.plans.registry import QUERIES
 
@@ -35,3 +36,17 @@ def test_lean_pairs_are_those_of_per_pair(spark):
     one = lambda df: df.select("term_id", "item_id", *[F.to_json(F.struct(F.col(n).alias("x"))).alias(n) for n in names])
     a, b = one(text_features.lean_pairs(T)), one(text_features.per_pair(T))
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+
+
+def test_the_ranker_reads_a_written_frame(spark, monkeypatch):
+    """The pairs are joined once, not again for the draws, both sides and both reports."""
+    class Seen(Exception):
+        pass
+
+    def ranker(df, *rest):
+        raise Seen(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(further.ranking, "ranker", ranker)
+    with pytest.raises(Seen) as seen:
+        QUERIES["pairwise_ranker"](spark, DIR)
+    assert "Join" not in str(seen.value)
