@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -229,12 +230,105 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, ratio(common, join(left)), ratio(common, join(right))) if common else best
 
 
+#: The longest shorter and longer texts that are compared in bulk, and how many pairs at a time.
+BITS, LONG, BULK = 64, 256, 2048
+
+
+def _coded(rows: list[str], table: np.ndarray, width: int) -> np.ndarray:
+    """The characters as codes of ``table``, a column for each text; 0 after its end."""
+    out = np.zeros((len(rows), width), np.int64)
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    out[np.arange(width) < size[:, None]] = table[np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    return np.ascontiguousarray(out.T)
+
+
+def _bulk(short: list[str], long: list[str], windows: bool) -> np.ndarray:
+    """For each pair the ratio (``windows``: the best one of the shorter text with a window of the longer), as ``ratio`` and ``_best_window`` give them.
+
+    The bit vectors of a few thousand pairs are advanced together, a character at a time. Pairs come in falling length of the shorter text, so those
+    that are done lie at the end.
+    """
+    n, m = (np.fromiter(map(len, x), np.int64, len(x)) for x in (short, long))
+    chars = np.frombuffer("".join(set("".join(short))).encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = np.zeros(0x110000, np.uint16)  # other characters match nothing
+    table[chars] = np.arange(1, len(chars) + 1)
+    rows, width = np.arange(len(n)), len(chars) + 1
+    masks = np.zeros((len(n), width), np.uint64)
+    for k, c in enumerate(_coded(short, table, int(n[0]))):
+        live = np.searchsorted(-n, -k)  # those longer than k
+        masks[rows[:live], c[:live]] |= np.uint64(1 << k)
+    flat, most = masks.ravel(), int(m.max())
+    at = _coded(long, table, most) + rows * width
+    full = np.where(n == 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(n, 63).astype(np.uint64)) - np.uint64(1))
+    best = np.zeros(len(n))
+    for start in range(most if windows else 1):
+        if start and (2 * np.clip(m - start, 0, n) <= best * (n + np.clip(m - start, 0, n))).all():
+            break  # what is left is too short
+        v = full.copy()
+        for k in range(min(int(n[0]), most - start) if windows else most):
+            live = int(np.searchsorted(-n, -k)) if windows else len(n)
+            w = v[:live]
+            u = w & flat.take(at[start + k, :live])
+            np.bitwise_or(w + u, w - u, out=w)
+            if windows and not start:  # windows that begin before the text
+                hit = n[:live] - np.bitwise_count(w & full[:live])
+                best[:live] = np.maximum(best[:live], np.where(k < m[:live], 2 * hit / (n[:live] + k + 1), 0))
+        if start or not windows:
+            hit, size = n - np.bitwise_count(v & full), np.minimum(n, m - start) if windows else m
+            best = np.maximum(best, np.where(size > 0, 2 * hit / np.maximum(n + size, 1), 0))
+    return best
+
+
+def _in_bulk(pairs: list[tuple[str, str]], windows: bool) -> list[float]:
+    """``ratio``, or ``partial_ratio``, of all pairs; very long texts one by one."""
+    one = partial_ratio if windows else ratio
+    out, todo = [0.0] * len(pairs), []
+    for k, (a, b) in enumerate(pairs):
+        s, t = (a, b) if len(a) <= len(b) else (b, a)
+        if not s or len(s) > BITS or len(t) > LONG:
+            out[k] = one(a, b)
+        elif windows and s in t:
+            out[k] = 1.0
+        else:
+            todo.append((s, t, k))
+            if windows and len(s) == len(t):
+                todo.append((t, s, k))
+    todo.sort(key=lambda x: (-len(x[0]), len(x[1])))
+    for k in range(0, len(todo), BULK):
+        short, long, place = zip(*todo[k : k + BULK], strict=True)
+        for p, x in zip(place, _bulk(list(short), list(long), windows).tolist(), strict=True):
+            out[p] = max(out[p], x)
+    return out
+
+
+def _set_parts(a: str, b: str) -> list[tuple[str, str]] | float:
+    """The pairs of which ``token_set_ratio`` is the best ratio, or its value where it needs none."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    common, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    if not common:
+        return [(left, right)]
+    if not left or not right:
+        return 1.0
+    left, right = f"{common} {left}", f"{common} {right}"
+    return [(left, right), (common, left), (common, right)]
+
+
 def _ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
-    every = {"fuzz_basic": ratio, "fuzz_partial": partial_ratio, "fuzz_sort": token_sort_ratio, "fuzz_set": token_set_ratio}
-    return pd.DataFrame({name: [f(*p) for p in pairs] for name, f in every.items()}, dtype=float)
+    """The four ratios; equal pairs of a batch are compared once."""
+    all_ = list(zip(a.fillna(""), b.fillna(""), strict=True))
+    pairs = list(dict.fromkeys(all_))
+    ordered = {x: " ".join(sorted(x.split())) for x in {x for p in pairs for x in p}}
+    sets = [_set_parts(*p) for p in pairs]
+    asked = [(ordered[x], ordered[y]) for x, y in pairs]
+    found = _in_bulk(pairs + asked + [p for s in sets if isinstance(s, list) for p in s], False)
+    basic, sort, rest = found[: len(pairs)], found[len(pairs) : 2 * len(pairs)], iter(found[2 * len(pairs) :])
+    best = [max(next(rest) for _ in s) if isinstance(s, list) else s for s in sets]
+    four = dict(zip(pairs, zip(basic, _in_bulk(pairs, True), sort, best, strict=True), strict=True))
+    return pd.DataFrame([four[p] for p in all_], columns=["fuzz_basic", "fuzz_partial", "fuzz_sort", "fuzz_set"], dtype=float)
 
 
 def fuzzy(a: Column, b: Column) -> Column:
-    """A struct of the four ratios of two texts; null counts as empty. Apply it to distinct pairs."""
+    """A struct of the four ratios of two texts; null counts as empty."""
     return F.pandas_udf(_ratios, "fuzz_basic double, fuzz_partial double, fuzz_sort double, fuzz_set double")(a, b)

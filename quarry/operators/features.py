@@ -15,43 +15,50 @@ c = F.col
 def pair_features(pairs: DataFrame, terms: DataFrame, items: DataFrame, scores: DataFrame | None = None, cosines: DataFrame | None = None, vocabulary: int | None = None) -> DataFrame:
     """term_id, item_id and 42 features. ``vocabulary``: only so many of the most frequent terms get TF-IDF weights; all, if not given.
     ``scores`` and ``cosines`` (term_id, item_id, score) come from encoders; without them these features are 0."""
-    brand = dictionary.longest_phrase(terms, dictionary.trusted_brands(items), "brand", "qbrand")
-    phrase = dictionary.longest_phrase(terms, dictionary.category_phrases(items), "phrase", "qcat")
-    t = terms.select("term_id", "query", text.tokens(c("query")).alias("q")).join(brand, "term_id", "left").join(phrase, "term_id", "left")
-    t = t.select("*", text.stems(c("q")).alias("sq"), signals.query_colour(c("q")).alias("qc"), similarity.query_head(c("q")).alias("head"), similarity.content_words(c("q")).alias("content"), similarity.product_words(c("q")).alias("product"), similarity.plain_tokens(c("query")).alias("plain"))
-    a = c("attributes")
-    i = items.select(
-        "*", text.tokens(c("title")).alias("tt"), text.tokens(F.replace(c("category"), F.lit("/"), F.lit(" "))).alias("ct"), attrs.value_of(a, "renk").alias("colour"),
-        attrs.value_of(a, "materyal bileşeni", "materyal").alias("material"), attrs.value_of(a, "kol boyu", "kol tipi").alias("sleeve"),
+    asked = terms.select("query").distinct().withColumn("term_id", c("query"))  # what a text tells is worked out once for all terms that ask it
+    brand = dictionary.longest_phrase(asked, dictionary.trusted_brands(items), "brand", "qbrand")
+    phrase = dictionary.longest_phrase(asked, dictionary.category_phrases(items), "phrase", "qcat")
+    texts = terms.select(c("query").alias("_x")).unionAll(items.select("title")).groupBy("_x").agg(F.count("*").alias("times"))
+    terms_of = lambda ws: F.concat(ws, text.bigrams(ws))
+    vectors = weights.vectors(texts, "_x", terms_of(weights.words(c("_x"))), 2, vocabulary, "times")
+    # a pair is shuffled with lines of its query, not with lists, and is matched to nothing after its item: tokens, cosine and ratios follow from the row
+    other = lambda ws, text: F.when(F.array_join(ws, " ") != text, F.array_join(ws, " "))  # a line only where it differs from the text
+    t = asked.select("term_id", "query", text.tokens(c("query")).alias("q")).join(brand, "term_id", "left").join(phrase, "term_id", "left")
+    t = t.join(vectors.select(c("_x").alias("query"), "norm"), "query", "left").select(
+        c("query").alias("_text"), "qbrand", "qcat", "norm", other(c("q"), c("query")).alias("_q"), other(text.stems(c("q")), c("query")).alias("_s"), other(similarity.plain_tokens(c("query")), c("query")).alias("_p"),
+        other(weights.words(c("query")), c("query")).alias("_t"), signals.query_colour(c("q")).alias("qc"),
     )
-    i = i.select("*", text.stems(c("tt")).alias("st"), text.stems(c("ct")).alias("sc"), similarity.brand_tokens(c("brand")).alias("bt"))
-    texts = terms.select(F.concat(F.lit("q"), c("term_id")).alias("k"), weights.words(c("query")).alias("ws")).unionAll(items.select(F.concat(F.lit("i"), c("item_id")), weights.words(c("title"))))
-    w = weights.tfidf(texts, texts, "k", F.concat(c("ws"), text.bigrams(c("ws"))), 2, vocabulary)
-    keyed = pairs.select("term_id", "item_id", F.concat(F.lit("q"), c("term_id")).alias("_q"), F.concat(F.lit("i"), c("item_id")).alias("_i"))
-    tfidf = (
-        keyed.join(w.select(c("k").alias("_q"), "term", c("w").alias("_a")), "_q").join(w.select(c("k").alias("_i"), "term", c("w").alias("_b")), ["_i", "term"])
-        .groupBy("term_id", "item_id").agg(F.sum(c("_a") * c("_b")).alias("tfidf_cos"))
+    t = terms.select("term_id", "query").join(t, c("query").eqNullSafe(c("_text"))).drop("_text")
+    a, values = c("attributes"), text.tokens(attrs.values_text(c("attributes")))
+    i = items.join(vectors.select(c("_x").alias("title"), "parts"), "title", "left").select(
+        "*", text.tokens(c("title")).alias("tt"), text.tokens(F.replace(c("category"), F.lit("/"), F.lit(" "))).alias("ct"), attrs.value_of(a, "renk").alias("colour"),
+        attrs.value_of(a, "materyal bileşeni", "materyal").alias("material"), attrs.value_of(a, "kol boyu", "kol tipi").alias("sleeve"), (F.size(attrs.entries(a)) > 0).alias("mapped"), text.tokens(a).alias("at"),
     )
-    fuzzy = pairs.join(terms, "term_id").join(items.select("item_id", "title"), "item_id").select("query", "title").distinct().select("query", "title", similarity.fuzzy(c("query"), c("title")).alias("f"))
-    given = lambda df, name: (df.select("term_id", "item_id", c("score").alias(name)) if df is not None else pairs.select("term_id", "item_id", F.lit(0.0).alias(name)))
-    p = pairs.select("term_id", "item_id").join(t, "term_id").join(i, "item_id").join(fuzzy, ["query", "title"]).join(tfidf, ["term_id", "item_id"], "left")
-    p = p.join(given(scores, "bert_score"), ["term_id", "item_id"], "left").join(given(cosines, "tyembed_cos"), ["term_id", "item_id"], "left")
+    i = i.select("*", text.stems(c("tt")).alias("st"), text.stems(c("ct")).alias("sc"), similarity.brand_tokens(c("brand")).alias("bt"), F.when(c("mapped"), values).otherwise(c("at")).alias("av"), signals.codes(F.concat(c("tt"), c("at"))).alias("codes")).drop("attributes", "at")
+    p = pairs.select("term_id", "item_id")
+    for df, name in ((scores, "bert_score"), (cosines, "tyembed_cos")):
+        p = p.join(df.select("term_id", "item_id", c("score").alias(name)), ["term_id", "item_id"], "left") if df is not None else p.withColumn(name, F.lit(0.0))
+    p = p.join(t.hint("merge"), "term_id").join(i.hint("merge"), "item_id").withColumn("f", similarity.fuzzy(c("query"), c("title")))
+    words = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+    p = p.withColumns({name: words(F.coalesce(c(x), c("query"))) for name, x in (("q", "_q"), ("sq", "_s"), ("plain", "_p"), ("_ws", "_t"))})
+    p = p.withColumn("_w", F.transform("q", lambda w, i: F.struct(w.alias("w"), F.get(c("sq"), i).alias("s"))))
+    p = p.withColumns({"head": similarity.head_of(c("_w")), "content": similarity.content_of(c("_w")), "product": similarity.product_of(c("_w")), "tfidf_cos": weights.dot(terms_of(c("_ws")), c("norm"), c("parts"))})
     q, tt, ct, query, first = c("q"), c("tt"), c("ct"), c("query"), F.try_element_at(c("q"), F.lit(1))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     return p.select(
-        "term_id", "item_id", "f.fuzz_partial", "f.fuzz_set", "f.fuzz_sort", "f.fuzz_basic", similarity.jaccard(q, tt).alias("jaccard"), F.coalesce("tfidf_cos", F.lit(0.0)).alias("tfidf_cos"),
+        "term_id", "item_id", "f.fuzz_partial", "f.fuzz_set", "f.fuzz_sort", "f.fuzz_basic", similarity.jaccard(q, tt).alias("jaccard"), "tfidf_cos",
         similarity.coverage(q, tt).alias("q_cov_title"), similarity.coverage(tt, q).alias("t_cov_query"), similarity.jaccard(q, ct).alias("cat_overlap"), flag(F.contains(c("title"), query)).alias("exact_in_title"),
         similarity.overlap(q, tt).alias("token_overlap"), similarity.contains_known(query, c("age_group")).alias("age_in_q"), similarity.jaccard(c("sq"), c("st")).alias("stem_jaccard"),
         similarity.jaccard(c("sq"), c("sc")).alias("stem_cat_jac"), signals.gender_cross(query, c("gender")).alias("gender_cross"), flag(F.contains(c("title"), first)).alias("first_tok_title"),
         flag((c("brand") != L.UNKNOWN) & F.contains(c("brand"), first)).alias("first_tok_brand"), F.size(q).alias("q_len"), F.size(tt).alias("t_len"), F.coalesce("bert_score", F.lit(0.0)).alias("bert_score"),
         attrs.level(c("category"), 0).alias("ana_kategori"), signals.colour_match(c("qc"), c("colour")).alias("color_typed"), c("qc").isNotNull().cast("double").alias("has_q_color"),
         (c("colour") != "").cast("double").alias("attr_has_renk"), similarity.brand_overlap(query, c("brand"), c("bt"), c("plain")).alias("brand_tok_ovlp"), signals.material_match(q, c("material")).alias("material_match"),
-        signals.sleeve_match(query, c("sleeve")).alias("kol_boyu_match"), similarity.attribute_jaccard(q, c("attributes")).alias("attr_jac_fixed"), similarity.attribute_coverage(q, c("attributes")).alias("attr_q_cov"),
+        signals.sleeve_match(query, c("sleeve")).alias("kol_boyu_match"), similarity.jaccard(q, c("av")).alias("attr_jac_fixed"), F.when(c("mapped"), similarity.coverage(q, c("av"))).otherwise(0.0).alias("attr_q_cov"),
         similarity.head_match(q, tt, word_stems=c("st"), head=c("head")).alias("head_in_title"), similarity.weighted_coverage(q, tt, word_stems=c("st"), content=c("content")).alias("weighted_q_cov"), similarity.head_match(q, ct, word_stems=c("sc"), head=c("head")).alias("head_in_cat"),
         similarity.product_cover(query, q, tt, c("brand"), word_stems=c("st"), product=c("product"), brand_words=c("bt"), plain=c("plain")).alias("product_type_cover"), similarity.subset(q, tt).alias("all_q_in_title"), similarity.brand_weight(q, c("brand"), c("bt")).alias("brand_weight"),
         F.coalesce("tyembed_cos", F.lit(0.0)).alias("tyembed_cos"), signals.phrase_signal(c("qbrand"), c("brand"), True).alias("trusted_brand_mismatch"), signals.phrase_signal(c("qcat"), c("category"), False).alias("category_phrase_match"),
         signals.age_cross(query, c("age_group")).alias("age_cross"), signals.material_mismatch(q, c("material")).alias("material_mismatch"), signals.query_type(query, c("qbrand"), c("qcat")).alias("query_type"),
-        signals.code_match(q, F.concat(tt, text.tokens(c("attributes")))).alias("spec_code_match"),
+        signals.code_match(q, c("codes")).alias("spec_code_match"),
     )
 
 

@@ -50,3 +50,14 @@ def test_the_ranker_reads_a_written_frame(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         QUERIES["pairwise_ranker"](spark, DIR)
     assert "Join" not in str(seen.value)
+
+
+def test_the_pair_frame_matches_pairs_to_nothing_after_their_item(spark):
+    """Ratios and cosine come from the row: the pairs are joined with scores, terms and items only, and carry no lists of their query."""
+    from quarry.plans import extras  # noqa: F401
+
+    plan = QUERIES["pair_feature_frame"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    ratios = next(k for k, line in enumerate(lines) if "ArrowEvalPython" in line)
+    assert not any("Join" in line for line in lines[:ratios])
+    assert plan.count("strategy=merge") == 2
