@@ -41,8 +41,9 @@ def pair_features(pairs: DataFrame, terms: DataFrame, items: DataFrame, scores:
     p = p.join(t.hint("merge"), "term_id").join(i.hint("merge"), "item_id").withColumn("f", similarity.fuzzy(c("query"), c("title")))
     words = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
     p = p.withColumns({name: words(F.coalesce(c(x), c("query"))) for name, x in (("q", "_q"), ("sq", "_s"), ("plain", "_p"), ("_ws", "_t"))})
-    p = p.withColumn("_w", F.transform("q", lambda w, i: F.struct(w.alias("w"), F.get(c("sq"), i).alias("s"))))
-    p = p.withColumns({"head": similarity.head_of(c("_w")), "content": similarity.content_of(c("_w")), "product": similarity.product_of(c("_w")), "tfidf_cos": weights.dot(terms_of(c("_ws")), c("norm"), c("parts"))})
+    after = F.transform(F.slice(c("_ws"), 2, F.greatest(F.size("_ws") - 1, F.lit(0))), lambda w, i: F.concat(F.get(c("_ws"), i), F.lit(" "), w))
+    p = p.withColumn("_g", F.concat("_ws", after)).withColumn("_w", F.transform("q", lambda w, i: F.struct(w.alias("w"), F.get(c("sq"), i).alias("s"))))
+    p = p.withColumns({"head": similarity.head_of(c("_w")), "content": similarity.content_of(c("_w")), "product": similarity.product_of(c("_w")), "tfidf_cos": weights.dot(c("_g"), c("norm"), c("parts"))})
     q, tt, ct, query, first = c("q"), c("tt"), c("ct"), c("query"), F.try_element_at(c("q"), F.lit(1))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     return p.select(
