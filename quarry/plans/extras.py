@@ -111,9 +111,9 @@ def half_random_negatives(t):
     return negatives.halves(p, i, "main", 2, 2, 42)
 
 
-@query(f"WITH {TFIDF}, s AS (SELECT term_id, item_id, round(sum(qw.w * iw.w), 6) AS score FROM qw JOIN iw USING (term) WHERE term_id % 20 = 0 GROUP BY 1, 2 HAVING round(sum(qw.w * iw.w), 6) > 0.01), a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) <= 60) SELECT term_id, item_id, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) AS INT) AS rank FROM a WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.term_id = a.term_id AND p.item_id = a.item_id) QUALIFY rank <= 20")
+@query(f"WITH {TFIDF}, s AS (SELECT term_id, item_id, round(sum(qw.w * iw.w), 6) AS score FROM qw JOIN iw USING (term) GROUP BY 1, 2 HAVING round(sum(qw.w * iw.w), 6) > 0.01), a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) <= 60) SELECT term_id, item_id, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) AS INT) AS rank FROM a WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.term_id = a.term_id AND p.item_id = a.item_id) QUALIFY rank <= 20")
 def tfidf_mined_negatives(t):
-    return negatives.mined_by_similarity(nearest_titles(t.terms.filter("term_id % 20 = 0"), t, 60), t.pairs, 60, 20, 0.01).select("term_id", "item_id", "score", "rank")
+    return negatives.mined_from_lists(nearest_titles(t.terms, t, 60, nearest.lists), t.pairs, 60, 20, 0.01)
 
 
 @query(f"WITH {PAIR} SELECT term_id, item_id FROM pp WHERE (contains(query, 'erkek') AND gender = 'kadın') OR (contains(query, 'kadın') AND gender = 'erkek') OR len(list_intersect(q, list_concat(tt, ct))) = 0")
