@@ -66,12 +66,11 @@ CHARS = "unnest(list_concat([x[i:i + 2] FOR i IN range(1, greatest(length(x) - 2
 
 @query(f"""WITH cw AS (SELECT term_id, ' ' || unnest({tok('query')}) || ' ' AS x FROM terms), cg AS (SELECT term_id, {CHARS} AS term FROM cw), tf AS (SELECT term_id, term, count(*) AS tf FROM cg GROUP BY 1, 2), dfx AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
   w0 AS (SELECT term_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM terms)) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN dfx USING (term)), w1 AS (SELECT term_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY term_id)) AS w FROM w0),
-  s AS (SELECT a.term_id, b.term_id AS other, round(sum(a.w * b.w), 6) AS score FROM w1 a JOIN w1 b ON a.term = b.term WHERE a.term_id % 20 = 0 AND a.term_id <> b.term_id GROUP BY 1, 2) SELECT term_id, other, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, other) AS INT) AS rank FROM s WHERE score >= 0.05 QUALIFY rank <= 10""")
+  s AS (SELECT a.term_id, b.term_id AS other, round(sum(a.w * b.w), 6) AS score FROM w1 a JOIN w1 b ON a.term = b.term WHERE a.term_id <> b.term_id GROUP BY 1, 2) SELECT term_id, other, score, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, other) AS INT) AS rank FROM s WHERE score >= 0.05 QUALIFY rank <= 10""")
 def char_tfidf_neighbours(t):
     grams = text.char_ngrams(text.tokens(c("query")))
-    near = nearest.nearest(t.terms.filter("term_id % 20 = 0"), t.terms.withColumnRenamed("term_id", "other"), "term_id", "other", grams, grams, 11)  # itself may be one of them
-    s = near.filter("term_id <> other AND score >= 0.05").drop("rank")
-    return relational.top_k(s, "term_id", 10, c("score").desc(), c("other")).select("term_id", "other", "score", "rank")
+    near = nearest.lists(t.terms, t.terms.withColumnRenamed("term_id", "other"), "term_id", "other", grams, grams, 11)  # itself may be one of them
+    return nearest.ranked(near.withColumn("near", F.filter("near", lambda x: (x["other"] != c("term_id")) & (x["score"] >= 0.05))), 10)
 
 
 @query(f"WITH {TOP} SELECT query_id, item_id, round(score, 6) AS score FROM r WHERE rank <= 50 AND score >= 0.3", adapters=False)

@@ -9,7 +9,7 @@ from quarry.plans.registry import QUERIES
 DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["tfidf_retrieval_topk", "rerank_top14", "decorated_candidates", "tfidf_mined_negatives"])
+@pytest.mark.parametrize("name", ["tfidf_retrieval_topk", "rerank_top14", "decorated_candidates", "tfidf_mined_negatives", "char_tfidf_neighbours"])
 def test_every_query_asks(spark, name):
     asks = {r.term_id for r in Tables(spark, DIR).terms.select("term_id").collect()}
     assert len(asks) > 100 and {r.term_id for r in QUERIES[name](spark, DIR).select("term_id").distinct().collect()} == asks
